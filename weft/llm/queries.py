@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from weft.llm import chat, quality, url_filter
+from weft.llm import chat, decontaminate, mixing, quality, url_filter
 
 QUERIES = {
+    "op1_decontamination": decontaminate.query,
     "op2_quality_rules": quality.query,
     "op5_chat_formatting": chat.query,
+    "op9_source_mixing": mixing.query,
     "op10_url_filters": url_filter.query,
 }
-ORACLE_SQL = {"op5_chat_formatting": chat.ORACLE}
+ORACLE_SQL = {"op1_decontamination": decontaminate.ORACLE, "op5_chat_formatting": chat.ORACLE}
