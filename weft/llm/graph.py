@@ -1,0 +1,24 @@
+"""Connected components of an edge table, by minimum labels with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weft.llm.common import materialize
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, comp) for every vertex of edges(a, b): comp is the smallest id that can be reached. Each step writes its labels to
+    the shared folder; steps grow with the logarithm of the longest path, and no vertex's edges are gathered."""
+    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
+    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")), "labels")
+    while True:
+        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("comp").alias("m"))
+        step = labels.join(near, labels["id"] == near["a"], "left").select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
+        up = labels.select(F.col("id").alias("up"), F.col("comp").alias("top"))
+        step = step.join(up, step["comp"] == up["up"], "left").select("id", "old", F.least("comp", "top").alias("comp"))
+        step = materialize(step, "labels")
+        if step.where("old <> comp").isEmpty():
+            return step.select("id", "comp")
+        labels = step.select("id", "comp")
