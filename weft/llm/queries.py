@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from weft.llm import chat, decontaminate, language_model, mixing, near_dup, quality, url_filter
+from weft.llm import chat, decontaminate, language_model, mixing, near_dup, quality, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
     "op2_quality_rules": quality.query,
+    "op3_suffix_array_dedup": suffix_dedup.query,
     "op4_lm_scoring": language_model.query,
     "op5_chat_formatting": chat.query,
     "op7_minhash_near_dedup": near_dup.query,
