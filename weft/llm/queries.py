@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.llm import chat, decontaminate, language_model, mixing, near_dup, quality, suffix_dedup, url_filter
+from weft.llm import chat, decontaminate, language_model, licenses, mixing, near_dup, quality, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_suffix_array_dedup": suffix_dedup.query,
     "op4_lm_scoring": language_model.query,
     "op5_chat_formatting": chat.query,
+    "op6_toxicity": toxicity.query,
     "op7_minhash_near_dedup": near_dup.query,
+    "op8_license_scans": licenses.query,
     "op9_source_mixing": mixing.query,
     "op10_url_filters": url_filter.query,
 }
