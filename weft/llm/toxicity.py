@@ -57,8 +57,8 @@ def patterns(text: bytes | None, n_lexicon: int) -> list[int]:
     return [1 if n_lexicon >= 3 else 0, -1 if upper > lower and not n_lexicon else 0, -1 if len(text) > 400 and not n_lexicon else 0]
 
 
-def mine(rows: list[Counter], labels: np.ndarray, least: int = 5, odds: float = 8.0, most: int = 5000) -> dict[bytes, float]:
-    """Terms whose smoothed odds of being in toxic rows are high, with their log-odds."""
+def mine(rows: list[Counter], labels: np.ndarray, odds: float = 8.0, z: float = 8.0, most: int = 5000) -> dict[bytes, float]:
+    """Terms whose smoothed odds of being in toxic rows are high, and beyond ``z`` deviations of chance, with their log-odds."""
     bad, good = Counter(), Counter()
     for found, y in zip(rows, labels, strict=True):
         (bad if y else good).update(found.keys())
@@ -67,7 +67,8 @@ def mine(rows: list[Counter], labels: np.ndarray, least: int = 5, odds: float =
         return {}
     out = {}
     for t, n in bad.items():
-        if n >= least:
+        expected = (n + good[t]) * n_bad / (n_bad + n_good)
+        if n - expected >= z * np.sqrt(expected):
             ratio = ((n + 0.5) / (n_bad + 1)) / ((good[t] + 0.5) / (n_good + 1))
             if ratio >= odds:
                 out[t] = float(np.log(ratio))
