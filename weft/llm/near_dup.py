@@ -7,12 +7,14 @@ within that distance shares an entry. With 64 symbols in 16 chunks the distance
 16 on average and in 32 or more with probability 1e-5. Links are confirmed on the full sets.
 
 Entries with one member are done. Within the others no pairs are enumerated: in ``rounds`` rounds each set is compared
-with one hub, the nearest by signature among the hubs of its entries, and links merge components. What then still shares an
-entry across two components, within the distance, is compared pair by pair, so that no link between components is lost; hubs
-merely decide in which order links are found. Equal sets are one set throughout.
+with one hub, the one it shares most entries with, and links merge components. What then still shares an entry
+across two components is compared in blocks: candidate groups (sets connected by open entries) are ordered by component and cut into
+blocks of ``block`` sets; two blocks meet in one task unless both lie in the same component. There the signatures are
+compared as matrices and what is within the distance is confirmed, unless the two sets have been connected in this task
+already. Only links leave a task; no link between components is lost. Equal sets are one set throughout.
 
 Hot entries: their members are rows, counted and joined by Spark; a hub's comparisons are dealt in salted groups
-of about ``salt`` members; a task holds one hub's set at a time.
+of about ``salt`` members; a task holds one hub's set, or two blocks, at a time.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; rows of a null doc_id are linked with
 nothing and have a null component; repeated rows share the component (deduplicate keeps one of them); an empty table
@@ -109,17 +111,9 @@ def _entries(reps: DataFrame, symbols: int, chunk: int) -> DataFrame:
     return reps.select("rep", "sig").mapInArrow(run, "key long, rep long")
 
 
-def _near(pairs: DataFrame, sigs: DataFrame, most: int) -> DataFrame:
-    """pairs(a, b) with distance, those within ``most``."""
-    both = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-
-    def run(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
-            d = (a != b).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d.astype(np.int64))], names=["a", "b", "d"]).filter(pa.array(d <= most))
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, d long")
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, salt: int) -> DataFrame:
@@ -139,14 +133,76 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, salt:
                 if kind == 0:
                     hub, own = (a, g), found
                 elif hub == (a, g):
-                    both = len(np.intersect1d(own, found, assume_unique=True))
-                    if 100 * both >= percent * (len(own) + len(found) - both):
+                    if similar(own, found, percent):
                         links.append((a, b))
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
     return rows.select("a", "g", "id", "kind", "z").mapInArrow(run, "a long, b long")
 
 
+def _one_task(rows: list[tuple], width: int, percent: int, most: int, hashes: Hashes) -> list[tuple[int, int]]:
+    """Links between the components of rows (side, rep, comp, sig, z) of one or two blocks; of two, only across them."""
+    sides = np.array([r[0] for r in rows])
+    sigs = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(len(rows), -1)
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while top.get(x, x) != x:
+            top[x] = x = top.get(top[x], top[x])
+        return x
+
+    sets: dict[int, np.ndarray] = {}
+    get = lambda i: sets[i] if i in sets else sets.setdefault(i, shingles(B.unsqueeze(rows[i][4]), width, hashes))
+    two, links = len(set(sides.tolist())) == 2, []
+    for i in range(len(rows)):
+        if two and sides[i]:
+            continue
+        others = np.flatnonzero(sides == 1) if two else np.arange(i + 1, len(rows))
+        d = (sigs[others] != sigs[i]).sum(axis=1)
+        for j in others[d <= most][np.argsort(d[d <= most], kind="stable")].tolist():
+            a, b = root(rows[i][2]), root(rows[j][2])
+            if a != b and similar(get(i), get(j), percent):
+                top[max(a, b)] = min(a, b)
+                links.append((rows[i][1], rows[j][1]))
+    return links
+
+
+def _in_blocks(open_entries: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, percent: int, most: int, block: int) -> DataFrame:
+    """Links (a, b) between components among sets that share open entries (key, rep, comp)."""
+    stars = open_entries.groupBy("key").agg(F.min("rep").alias("a")).join(open_entries.select("key", F.col("rep").alias("b")), "key").where("a <> b").select("a", "b")
+    groups = components(stars.distinct()).select(F.col("id").alias("rep"), F.col("comp").alias("grp"))
+    rows = materialize(groups.join(open_entries.select("rep", "comp").distinct(), "rep"), "open-sets")
+    # Blocks: ordinal within (group, component), so that large components have blocks of their own; small ones share by hash.
+    sizes = rows.groupBy("grp", "comp").agg(F.count("*").alias("n"))
+    shares = sizes.groupBy("grp").agg(F.ceil(F.sum(F.when(F.col("n") < block // 4, F.col("n"))) / block).alias("shared"))
+    cut = sizes.join(shares, "grp")
+    own = F.when(F.col("n") < block // 4, F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.col("shared")))).otherwise(F.concat(F.lit("c"), F.col("comp"), F.lit("/"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / block))))
+    dealt = materialize(rows.join(cut, ["grp", "comp"]).select("grp", "rep", "comp", own.alias("block"), (F.col("n") < block // 4).alias("mixed")), "blocks")
+    blocks = dealt.groupBy("grp", "block", "mixed").agg(F.min("comp").alias("comp"))
+    x, y = blocks.select("grp", *[F.col(c).alias(f"{c}_x") for c in ("block", "mixed", "comp")]), blocks.select("grp", *[F.col(c).alias(f"{c}_y") for c in ("block", "mixed", "comp")])
+    meet = x.join(y, "grp").where("block_x <= block_y and (mixed_x or mixed_y or comp_x <> comp_y)").select("grp", "block_x", "block_y")
+    sides = meet.select("grp", F.col("block_x").alias("block"), "block_x", "block_y", F.lit(0).alias("side"))
+    sides = sides.union(meet.where("block_x <> block_y").select("grp", F.col("block_y"), "block_x", "block_y", F.lit(1)))
+    full = dealt.join(sigs, "rep").join(texts, "rep")
+    work = sides.join(full, ["grp", "block"]).select("grp", "block_x", "block_y", "side", "rep", "comp", "sig", "z")
+    work = work.repartition("grp", "block_x", "block_y").sortWithinPartitions("grp", "block_x", "block_y", "side", "rep")
+
+    def run(batches):
+        hashes, now, rows = Hashes(), None, []
+        for batch in batches:
+            links = []
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if row[:3] != now:
+                    links += _one_task(rows, width, percent, most, hashes) if rows else []
+                    now, rows = row[:3], []
+                rows.append(row[3:])
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+        links = _one_task(rows, width, percent, most, hashes) if rows else []
+        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return work.mapInArrow(run, "a long, b long")
+
+
 def _compressed(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -155,7 +211,7 @@ def _compressed(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, z binary")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, symbols: int = 64, chunk: int = 4, rounds: int = 3, salt: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, symbols: int = 64, chunk: int = 4, rounds: int = 2, salt: int = 256, block: int = 512, max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row."""
     most = 2 * (symbols // chunk) - 1
     found = features(docs, width, symbols)
@@ -165,35 +221,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, symbols:
     live = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = materialize(entries.join(live, "key"), "entries")
     sigs = materialize(sets.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "sig"), "live-sets")
-    texts = _compressed(docs).join(sigs.select(F.col("rep").alias("id")), "id").groupBy("id").agg(F.first("z").alias("z")).withColumnRenamed("id", "rep")
-    texts = materialize(texts, "live-texts")
-    links, labels, done = None, None, None
+    texts = _compressed(docs).join(broadcast_if_small(sigs.select(F.col("rep").alias("id")), max_broadcast_rows), "id")
+    texts = materialize(texts.groupBy("id").agg(F.first("z").alias("z")).withColumnRenamed("id", "rep"), "live-texts")
+    links, labels = None, None
     for r in range(rounds + 1):
-        now = members
+        now = members.withColumn("comp", F.col("rep"))
         if labels is not None:
             now = members.join(labels, members["rep"] == labels["id"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-        else:
-            now = members.withColumn("comp", F.col("rep"))
         hub = F.min_by(F.struct("rep", "comp"), F.struct(F.xxhash64("rep", F.lit(r)) if r else F.col("rep"), F.col("rep")))
         open_ = now.groupBy("key").agg(hub.alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
         if r < rounds:
-            pairs = now.join(open_.select("key", "hub"), "key").where("hub.comp <> comp").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
-            pairs = _near(pairs, sigs, most)
-            pairs = pairs.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b")
+            pairs = now.join(open_.select("key", "hub"), "key").where("hub.comp <> comp").groupBy(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("n"))
+            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+            pairs = materialize(pairs, "pairs")
+            if pairs.isEmpty():
+                break
+            new = confirm(pairs, texts, width, percent, salt)
         else:
             own = materialize(now.join(open_.select("key"), "key", "left_semi"), "open-entries")
-            x, y = own.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca")), own.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-            pairs = _near(x.join(y, "key").where("ca < cb").select("a", "b").distinct(), sigs, most).select("a", "b")
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            if r == rounds or r == 0:
+            if own.isEmpty():
                 break
-            continue
-        turned = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        done = pairs.union(turned) if done is None else done.union(pairs).union(turned)
-        new = materialize(confirm(pairs, texts, width, percent, salt), "links")
+            new = _in_blocks(own, sigs, texts, width, percent, most, block)
+        new = materialize(new, "links")
         links = new if links is None else links.union(new)
         labels = components(links)
     comps = sets.select("set_id", "rep")
