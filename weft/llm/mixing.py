@@ -74,7 +74,7 @@ def size_of(text: Column) -> Column:
     return F.length(F.translate(marked, " \t\n\x0b\f\r", "")).cast("long")
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = 1024, bucket_rows: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = 1024, bucket_rows: int = 4_000) -> tuple[DataFrame, DataFrame]:
     """(per document: doc_id, size, source, source_size, target, taken; the mix: slot, source, doc_id, first, words)."""
     spark = docs.sparkSession
     rows = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size")).withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
