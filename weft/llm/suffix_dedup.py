@@ -34,6 +34,8 @@ from weft.llm.suffix_sort import repeated
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 STRETCH = "anchor long, id long, left int, data binary, owner long"
+#: A bundle's open stretches, and one row without anchor: its spans that are removed whole, ids and first windows of the others.
+OPEN = STRETCH + ", whole binary, ids binary, firsts binary"
 ANSWER = "owner long, id long, runs array<int>"
 _CHUNK = 1 << 17
 
@@ -190,12 +192,19 @@ def find(docs: DataFrame, length: int = 200, gram: int = 32, block: int = 256) -
         i = open_[once]
         a, b, p = found[0][i].tolist(), found[1][i].tolist(), found[2][i].tolist()
         unique = (of_whole[i] == 1).tolist()
+        kept = of_whole > 1
+        left = np.flatnonzero(~kept)
+        none = [None] * len(i)
         return pa.table({
-            "anchor": pa.array(anchors[i].view(np.int64)), "id": pa.array(whole[i].view(np.int64)), "left": pa.array([y - x for x, y in zip(a, p, strict=True)], pa.int32()),
-            "data": pa.array([data[x : y + length] for x, y in zip(a, b, strict=True)], pa.binary()), "owner": pa.array([row["bundle"] if u else None for u in unique], pa.int64()),
+            "anchor": pa.array([*anchors[i].view(np.int64).tolist(), None], pa.int64()), "id": pa.array([*whole[i].view(np.int64).tolist(), None], pa.int64()),
+            "left": pa.array([*[y - x for x, y in zip(a, p, strict=True)], None], pa.int32()), "data": pa.array([*[data[x : y + length] for x, y in zip(a, b, strict=True)], None], pa.binary()),
+            "owner": pa.array([*[row["bundle"] if u else None for u in unique], row["bundle"]], pa.int64()),
+            "whole": pa.array([*none, B.pack_numbers(found[:2, kept].T.copy().reshape(-1))], pa.binary()),
+            "ids": pa.array([*none, B.pack_numbers(whole[left])], pa.binary()), "firsts": pa.array([*none, B.pack_numbers(found[0, left])], pa.binary()),
         })
 
-    rows = B.with_totals(packed, totals, candidates, STRETCH)
+    every = materialize(B.with_totals(packed, totals, candidates, OPEN), "open")
+    rows = every.where("anchor is not null")
     rows = materialize(rows.groupBy("anchor", "id").agg(F.first("left").alias("left"), F.first("data").alias("data"), F.max("owner").alias("owner")), "stretches")
     sizes = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.count("owner").alias("open"))
     sizes = materialize(sizes.where("n > 1 and open > 0").select("anchor", "n"), "block-sizes")
@@ -206,18 +215,7 @@ def find(docs: DataFrame, length: int = 200, gram: int = 32, block: int = 256) -
         hits = hits.union(_counted_blocks(large, length))
     hits = materialize(hits, "repeats").groupBy("owner").agg(F.collect_list(F.struct("id", "runs")).alias("hits"))
 
-    def spans(row: dict, total: np.ndarray) -> pa.Table:
-        _, _, found, anchors, whole = _read(row, length, gram)
-        _, of_whole = _positions(np.concatenate([anchors, whole]), total, anchors, whole)
-        kept = of_whole > 1
-        i = np.flatnonzero(~kept)
-        return pa.table({
-            "bundle": pa.array([row["bundle"]], pa.int64()),
-            "whole": pa.array([B.pack_numbers(found[:2, kept].T.copy().reshape(-1))], pa.binary()),
-            "ids": pa.array([B.pack_numbers(whole[i])], pa.binary()), "firsts": pa.array([B.pack_numbers(found[0, i])], pa.binary()),
-        })
-
-    base = B.with_totals(packed, totals, spans, "bundle long, whole binary, ids binary, firsts binary")
+    base = every.where("anchor is null").select(F.col("owner").alias("bundle"), "whole", "ids", "firsts")
     both = base.join(hits.withColumnRenamed("owner", "bundle"), "bundle", "left").select("bundle", "whole", "ids", "firsts", "hits")
 
     def merge(batches):

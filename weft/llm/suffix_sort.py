@@ -33,10 +33,24 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     previous = [-1] * n
     high = n
     while high > 0:
-        low = group[order[high - 1]]
+        i = order[high - 1]
+        low = group[i]
+        if low == high - 1:  # most groups end up with one member
+            p = i - 1
+            while p >= 0 and group[p] >= low:
+                p = previous[p]
+            previous[i] = p
+            high = low
+            if p >= 0 and (left := size[g := group[p]] - 1):
+                tail = g + left
+                q, a = order[tail], place[p]
+                order[a], order[tail] = q, p
+                place[q], place[p] = a, tail
+                size[g], size[tail] = left, 1
+                group[p] = tail
+            continue
         members = order[low:high]
-        if high - low > 1:
-            members.sort()
+        members.sort()
         found: dict[int, int] = {}
         for i in members:
             p = i - 1
@@ -88,22 +102,20 @@ def suffix_array(text: Sequence[int]) -> list[int]:
 
 def repeated(pieces: list[bytes], lasts: list[int], length: int) -> list[list[int]]:
     """For each piece, the starts 0..last whose ``length`` bytes start at one of these places of any other piece too."""
-    text: list[int] = []
-    owner: dict[int, tuple[int, int]] = {}
-    bases = []
+    joined = b"\xff".join(pieces)  # windows end inside their piece, so that any separator will do
+    owner, bases, at = [-1] * len(joined), [], 0
     for k, piece in enumerate(pieces):
-        bases.append(len(text))
-        owner.update((len(text) + d, (k, d)) for d in range(lasts[k] + 1))
-        text.extend(b + 1 for b in piece)
-        text.append(0)
+        bases.append(at)
+        owner[at : at + lasts[k] + 1] = [k] * (lasts[k] + 1)
+        at += len(piece) + 1
     hits: list[set[int]] = [set() for _ in pieces]
-    before: tuple[int, int] | None = None
-    for s in suffix_array(text):
-        if s not in owner:
+    before, window = -1, b""
+    for s in suffix_array(joined):
+        if owner[s] < 0:
             continue
-        k, d = now = owner[s]
-        if before is not None and pieces[before[0]][before[1] : before[1] + length] == pieces[k][d : d + length]:
-            hits[k].add(d)
-            hits[before[0]].add(before[1])
-        before = now
+        own = joined[s : s + length]
+        if own == window:
+            hits[owner[s]].add(s - bases[owner[s]])
+            hits[owner[before]].add(before - bases[owner[before]])
+        before, window = s, own
     return [sorted(h) for h in hits]
