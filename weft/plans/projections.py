@@ -235,8 +235,8 @@ def f09(s, d):
     return lists.select("p_brand", F.explode(F.split("ids", ";").cast("array<bigint>")).alias("id"))
 
 
-@query("f10_array_numerics", """SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: round(x::DOUBLE * 10000)::BIGINT * round(x::DOUBLE * 10000)::BIGINT)) / 1e8, 6) AS dot, (list_position(embedding, list_max(embedding)) - 1)::BIGINT AS argmax FROM embeddings""")
+@query("f10_array_numerics", """SELECT vec_id, list_sum(list_transform(embedding, lambda x: round(x::DOUBLE * 10000)::BIGINT * round(x::DOUBLE * 10000)::BIGINT))::BIGINT AS dot, (list_position(embedding, list_max(embedding)) - 1)::BIGINT AS argmax FROM embeddings""")
 def f10(s, d):
     whole = F.transform("embedding", lambda x: F.round(x.cast("double") * 10000).cast("long"))
     dot = F.aggregate(F.zip_with(whole, whole, lambda x, y: x * y), F.lit(0).cast("long"), lambda a, x: a + x)
-    return t(s, d, "embeddings").select("vec_id", F.round(dot / 1e8, 6).alias("dot"), (F.array_position("embedding", F.array_max("embedding")) - 1).alias("argmax"))
+    return t(s, d, "embeddings").select("vec_id", dot.alias("dot"), (F.array_position("embedding", F.array_max("embedding")) - 1).alias("argmax"))
