@@ -37,11 +37,11 @@ def a04(s, d):
     return edge_series(s, d).groupBy("a", "b").agg(r6(S.first_or_all(S.masked_mean("dp", "w", keep), S.weighted_mean("dp", "w"))).alias("mean"), r6(S.weighted_share(keep, "w")).alias("kept"))
 
 
-@query("a05_chronic_pockets", f"WITH {NP}, {SN} SELECT nation, count(DISTINCT month)::BIGINT AS hours, sum(weight)::BIGINT AS mwh FROM np WHERE price > 250000 GROUP BY 1 HAVING count(DISTINCT month) * 3 >= (SELECT count(*) FROM sn)")
+@query("a05_chronic_pockets", f"WITH {NP}, {SN} SELECT nation, count(DISTINCT month)::BIGINT AS hours, sum(weight)::BIGINT AS mwh FROM np WHERE price > 200000 GROUP BY 1 HAVING count(DISTINCT month) * 2 >= (SELECT count(*) FROM sn)")
 def a05(s, d):
-    rows = node_price(s, d).where("price > 250000").groupBy("nation").agg(F.count_distinct("month").alias("hours"), F.sum("weight").alias("mwh"))
+    rows = node_price(s, d).where("price > 200000").groupBy("nation").agg(F.count_distinct("month").alias("hours"), F.sum("weight").alias("mwh"))
     n = snapshots(s, d).agg(F.count("*").alias("n"))
-    return rows.crossJoin(F.broadcast(n)).where("hours * 3 >= n").drop("n")  # one row
+    return rows.crossJoin(F.broadcast(n)).where("hours * 2 >= n").drop("n")  # one row
 
 
 @query("a06_grouping_sets", f"""WITH {NP}, z AS (SELECT np.*, n_regionkey::VARCHAR AS region FROM np JOIN nation ON n_nationkey = nation) SELECT month, coalesce(region, 'EU') AS region, round(sum(price * weight)::DOUBLE / sum(weight), 6) AS mean FROM z GROUP BY GROUPING SETS ((month, region), (month))""")

@@ -1,4 +1,4 @@
 """All queries of the library and their SQL."""
 
-from weft.plans import aggregates, joining, ordered, projections  # noqa: F401  each registers its queries
+from weft.plans import aggregates, inputs, joining, ordered, projections  # noqa: F401  each registers its queries
 from weft.plans.fixtures import ORACLE_SQL, QUERIES  # noqa: F401
