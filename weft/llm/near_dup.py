@@ -169,8 +169,11 @@ def _one_task(rows: list[tuple], width: int, percent: int, most: int, hashes: Ha
 
 def _in_blocks(open_entries: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, percent: int, most: int, block: int) -> DataFrame:
     """Links (a, b) between components among sets that share open entries (key, rep, comp)."""
-    stars = open_entries.groupBy("key").agg(F.min("rep").alias("a")).join(open_entries.select("key", F.col("rep").alias("b")), "key").where("a <> b").select("a", "b")
-    groups = components(stars.distinct()).select(F.col("id").alias("rep"), F.col("comp").alias("grp"))
+    hubs = open_entries.groupBy("key").agg(F.min("rep").alias("hub")).join(open_entries.select("key", "rep"), "key")
+    # A set's hubs (one per entry at most) are tied to the smallest of them: few edges, as many sets have the same hubs.
+    hubs = materialize(hubs.groupBy("rep").agg(F.min("hub").alias("first"), F.collect_set("hub").alias("hubs")), "open-hubs")
+    edges = hubs.select(F.col("rep").alias("a"), F.col("first").alias("b")).union(hubs.select(F.explode("hubs"), "first")).where("a <> b")
+    groups = components(edges.distinct()).select(F.col("id").alias("rep"), F.col("comp").alias("grp"))
     rows = materialize(groups.join(open_entries.select("rep", "comp").distinct(), "rep"), "open-sets")
     # Blocks: ordinal within (group, component), so that large components have blocks of their own; small ones share by hash.
     sizes = rows.groupBy("grp", "comp").agg(F.count("*").alias("n"))
