@@ -4,8 +4,8 @@ Every assistant turn becomes an example of its own: all preceding turns are cont
 Turns after the last reply (or a conversation without a reply) go to one more example with an empty loss mask, so that no
 turn is lost. Output rows carry the real text and the loss span in code points.
 
-Template: ``<|role:NAME|>\\n`` TEXT ``<|end|>\\n``. Texts and roles are escaped reversibly: every backslash is doubled, then
-a backslash is put after the first character of each control string (``<|``, ``<s>``, ``</s>``, ``[INST]``, ``[/INST]``).
+Template: ``<|role:NAME:|>\\n`` TEXT ``<|end|>\\n``. Texts and roles are escaped reversibly: every backslash is doubled, then
+a backslash is put after the first character of each control string (``<|``, ``|>``, ``<s>``, ``</s>``, ``[INST]``, ``[/INST]``).
 
 Defined cases: null text and null role are empty; turns of equal number are ordered by role, then text; repeated rows are
 turns of their own; rows of a null conv_id form one conversation with a null id; an empty table gives no rows; other
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from weft.llm.common import empty_text, let
 
 #: Zero-width places inside control strings where the escape goes.
-_INSIDE_CONTROL = r"(?<=<)(?=\||/?s>)|(?<=\[)(?=/?INST\])"
+_INSIDE_CONTROL = r"(?<=<)(?=\||/?s>)|(?<=\|)(?=>)|(?<=\[)(?=/?INST\])"
 
 
 def escape(text: Column) -> Column:
@@ -32,7 +32,7 @@ def unescape(text: Column) -> Column:
 
 
 def _render(turn: Column) -> Column:
-    return F.concat(F.lit("<|role:"), escape(turn["role"]), F.lit("|>\n"), escape(turn["text"]), F.lit("<|end|>\n"))
+    return F.concat(F.lit("<|role:"), escape(turn["role"]), F.lit(":|>\n"), escape(turn["text"]), F.lit("<|end|>\n"))
 
 
 def expand(conversations: DataFrame, reply_role: str = "assistant") -> DataFrame:
@@ -52,7 +52,7 @@ def expand(conversations: DataFrame, reply_role: str = "assistant") -> DataFrame
     prefix = F.array_join(F.slice("parts", F.lit(1), F.col("upto") - F.when(is_tail, 0).otherwise(1)), "")
     rows = rows.select(
         "conv_id", "example", is_tail.alias("is_tail"), prefix.alias("prefix"),
-        F.when(is_tail, "").otherwise(F.concat(F.lit("<|role:"), escape(F.lit(reply_role)), F.lit("|>\n"))).alias("head"),
+        F.when(is_tail, "").otherwise(F.concat(F.lit("<|role:"), escape(F.lit(reply_role)), F.lit(":|>\n"))).alias("head"),
         F.when(is_tail, "").otherwise(escape(F.element_at("turns", F.col("upto"))["text"])).alias("reply"),
     )
     return rows.select(
@@ -68,8 +68,8 @@ def read_back(formatted: Column) -> Column:
     return F.transform(
         pieces,
         lambda p: F.struct(
-            unescape(F.regexp_extract(p, r"^role:([^\n]*?)\|>\n", 1)).alias("role"),
-            unescape(F.regexp_replace(p, r"^role:[^\n]*?\|>\n", "")).alias("text"),
+            unescape(F.regexp_extract(p, r"(?s)^role:(.*?):\|>\n", 1)).alias("role"),
+            unescape(F.regexp_replace(p, r"(?s)^role:.*?:\|>\n", "")).alias("text"),
         ),
     )
 
@@ -111,8 +111,8 @@ WITH c AS (
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
-    length(role) + length(text) + 18 + length(role || text) - length(replace(role || text, '\', ''))
-    + length(regexp_replace(regexp_replace(role || chr(1) || text, '<(\||/?s>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g')) - length(role || chr(1) || text) AS size
+    length(role) + length(text) + 19 + length(role || text) - length(replace(role || text, '\', ''))
+    + len(regexp_extract_all(role || chr(1) || text, '<(?:\||/?s>)')) + len(regexp_extract_all(role || chr(1) || text, '\|>')) + len(regexp_extract_all(role || chr(1) || text, '\[/?INST\]')) AS size
   FROM c),
 s AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY k) AS upto, max(k) OVER (PARTITION BY conv_id) AS last FROM e)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,

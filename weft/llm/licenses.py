@@ -1,7 +1,8 @@
 """License scans by sentence rules.
 
-Texts are cut into sentences twice: at line ends and sentence ends, and at sentence ends alone (for notices wrapped over
-lines). A sentence is normalised (A-Z lowered, comment marks and punctuation dropped, blanks folded, years and names of a
+Texts are cut into sentences three times: at line ends and sentence ends, at sentence ends alone (for notices wrapped over
+lines), and from each line's start to the sentence's end (a title line before a notice); of the last, those over four times as
+long as the longest known sentence are left out: they cannot be one. A sentence is normalised (A-Z lowered, comment marks and punctuation dropped, blanks folded, years and names of a
 copyright line replaced) and looked up among the known sentences; those found give a sequence of identifiers in text order. A
 rule is an ordered sequence of identifiers; it matches where its identifiers follow one another with at most ``gap``
 unknown sentences between two. Of matches that overlap the longest rule wins, then the earlier, then the smaller name.
@@ -80,13 +81,20 @@ def normalise(sentence: str) -> str:
     return _COPYRIGHT.sub("copyright", words)
 
 
-def sentences(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, normalised) of all sentences of both cuts, in order of start, then end; equal spans once."""
+def sentences(text: str, longest: int) -> list[tuple[int, int, str]]:
+    """(start, end, normalised) of all sentences of the three cuts, in order of start, then end; equal spans once."""
+    spans = {m.span() for cut in (_LINE_OR_END, _END) for m in cut.finditer(text)}
+    for a, b in [m.span() for m in _END.finditer(text)]:
+        at = max(a, b - 4 * longest)
+        while 0 <= (at := text.find("\n", at, b)) < b:
+            at += 1
+            spans.add((at, b))
     found = set()
-    for cut in (_LINE_OR_END, _END):
-        for m in cut.finditer(text):
-            if m.end() > m.start() and (words := normalise(m.group())):
-                found.add((m.start(), m.end(), words))
+    for a, b in spans:
+        part = text[a:b]
+        if words := normalise(part):
+            start = a + len(part) - len(part.lstrip())
+            found.add((start, start + len(part.strip()), words))
     return sorted(found)
 
 
@@ -95,11 +103,12 @@ class Scanner:
         self.ids = {normalise(s): name for name, s in known.items()}
         #: Every known sentence has one of these words: a text without any has none.
         self.cue = re.compile("|".join(map(re.escape, sorted({min(words.split(), key=lambda w: (-len(w), w)) for words in self.ids}))))
+        self.longest = max(map(len, self.ids))
         self.rules, self.gap = rules, gap
 
     def known(self, text: str) -> tuple[int, list[tuple[int, int, int, str]]]:
         """(sentences, [(ordinal, start, end, id)]): the ordinal counts sentences of the finer cut before it."""
-        every = sentences(text)
+        every = sentences(text, self.longest)
         out, number, lines = [], 0, 0
         reached = -1
         for start, end, words in every:

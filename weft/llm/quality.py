@@ -2,8 +2,8 @@
 
 Only DataFrame functions: no Python runs on the executors.
 Units are runs of letters and digits, and runs of other visible characters; unigrams and bigrams of units are hashed into
-``buckets`` counters. The score of a text is the mean over its n-grams of log(p_target / p_raw), both with add-one
-smoothing over the buckets; every text is kept or rejected by the same fixed threshold, so reruns agree.
+``buckets`` counters. The score of a text is the mean over its n-grams of log(p_target / p_raw), the
+target's count and the count expected of it from the raw corpus with one added to each; every text is kept or rejected by the same fixed threshold, so reruns agree.
 
 Counts cover all rows. The model is one array of ``buckets`` doubles whatever the input's size; the driver puts it into the
 plan as a constant, so that scoring moves no row.
@@ -79,7 +79,7 @@ def fit(docs: DataFrame, trusted_ids: DataFrame, buckets: int = 1 << 14, max_bro
     spark = docs.sparkSession
     every = spark.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").fillna(0)
     one = every.agg(F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"), F.array_sort(F.collect_list(F.struct("b", "raw", "target"))).alias("c"))
-    ratio = lambda x: F.log((x["target"] + 1.0) / (F.col("n_target") + float(buckets))) - F.log((x["raw"] + 1.0) / (F.col("n_raw") + float(buckets)))
+    ratio = lambda x: F.log((x["target"] + 1.0) / (x["raw"] * F.col("n_target") / F.col("n_raw") + 1.0))
     return one.select(F.when(F.col("n_target") == 0, F.array_repeat(F.lit(0.0), buckets)).otherwise(F.transform("c", ratio)).alias("ratios"))
 
 

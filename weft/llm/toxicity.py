@@ -57,11 +57,15 @@ def patterns(text: bytes | None, n_lexicon: int) -> list[int]:
     return [1 if n_lexicon >= 3 else 0, -1 if upper > lower and not n_lexicon else 0, -1 if len(text) > 400 and not n_lexicon else 0]
 
 
-def mine(rows: list[Counter], labels: np.ndarray, odds: float = 8.0, z: float = 8.0, most: int = 5000) -> dict[bytes, float]:
+def mine(texts: list[bytes | None], labels: np.ndarray, odds: float = 8.0, z: float = 8.0, most: int = 5000) -> dict[bytes, float]:
     """Terms whose smoothed odds of being in toxic rows are high, and beyond ``z`` deviations of chance, with their log-odds."""
     bad, good = Counter(), Counter()
-    for found, y in zip(rows, labels, strict=True):
-        (bad if y else good).update(found.keys())
+    for text, y in zip(texts, labels, strict=True):
+        if y:
+            bad.update(terms(text).keys())
+    for text, y in zip(texts, labels, strict=True):
+        if not y:
+            good.update(bad.keys() & terms(text).keys())  # terms of clean rows alone are of no use
     n_bad, n_good = int(labels.sum()), int(len(labels) - labels.sum())
     if not n_bad or not n_good:
         return {}
@@ -148,13 +152,12 @@ def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], soft: np.ndarray, size
 
 class Model:
     def __init__(self, texts: list[bytes | None], labels: np.ndarray, groups: int = 24, buckets: int = 1 << 14):
-        rows = [terms(t) for t in texts]
         self.base = float((labels.sum() + 0.5) / (len(labels) + 1))
         self.weights = None
         if not 0 < labels.sum() < len(labels):
             return
-        self.features = Features(Voters(mine(rows, labels), groups), buckets)
-        votes = np.array([self.features.voters.votes(t, r) for t, r in zip(texts, rows, strict=True)])
+        self.features = Features(Voters(mine(texts, labels), groups), buckets)
+        votes = np.array([self.features.voters.votes(t, terms(t)) for t in texts])
         self.posterior, self.labelling = label_model(votes, labels)
         self.weights = fit_linear([self.features.of(t) for t in texts], self.posterior, self.features.size)
 
