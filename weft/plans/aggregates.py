@@ -355,12 +355,12 @@ def a54(s, d):
     return g.crossJoin(F.broadcast(n)).where("k > 0.99 * n").select("nation", F.round("mid", 4).alias("mid"))  # one row
 
 
-@query("a56_difference_panel", f"WITH {RD}, p AS (SELECT bus, sum(x) AS x FROM rd WHERE config = 'N' GROUP BY 1) SELECT bus, x::BIGINT AS x, (x - ref)::BIGINT AS diff, round(100.0 * (x - ref) / ref, 6) AS pct FROM p, (SELECT x AS ref FROM p WHERE bus = 1)")
+@query("a56_difference_panel", f"WITH {RD}, p AS (SELECT bus, sum(x) AS x FROM rd WHERE config = 'N' GROUP BY 1) SELECT bus, x::BIGINT AS x, (x - ref)::BIGINT AS diff, round(100.0 * (x - ref) / ref, 6) + 0.0 AS pct FROM p, (SELECT x AS ref FROM p WHERE bus = 1)")
 def a56(s, d):
     p = readings(s, d).where("config = 'N'").groupBy("bus").agg(F.sum("x").alias("x"))
     ref = p.where("bus = 1").select(F.col("x").alias("ref"))
     diff = F.col("x") - F.col("ref")
-    return p.crossJoin(F.broadcast(ref)).select("bus", "x", diff.alias("diff"), r6(100.0 * diff / F.col("ref")).alias("pct"))  # one row
+    return p.crossJoin(F.broadcast(ref)).select("bus", "x", diff.alias("diff"), (r6(100.0 * diff / F.col("ref")) + F.lit(0.0)).alias("pct"))  # one row
 
 
 @query("a57_band_rms", f"WITH {HR} SELECT kind, round(sqrt(avg(pow(v / 1000.0, 2))), 6) AS rms FROM hr WHERE hour % 24 >= 6 AND hour % 24 < 12 GROUP BY 1")
