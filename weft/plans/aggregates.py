@@ -383,3 +383,16 @@ def a59(s, d):
     w = Window.partitionBy("lam", "config", "event")
     k = p.withColumn("rx", F.rank().over(w.orderBy(F.col("x").desc()))).withColumn("ry", F.row_number().over(w.orderBy(F.col("y").desc(), "bus")))
     return k.groupBy("lam").agg(r6(F.corr("x", "y")).alias("pooled"), r6(F.avg(F.when(F.col("ry") == 1, (F.col("rx") <= 30).cast("int")))).alias("hit"))
+
+
+@query("a60_nodal_reference", f"""WITH {NP}, k AS (SELECT *, (substring(month, 6, 2)::INT % 2 = 1) AS fit FROM np), s AS (SELECT nation, max(price) AS top, max(weight) AS most FROM np GROUP BY 1)
+SELECT k.nation, round((sum(price * weight) FILTER (fit))::DOUBLE / (sum(weight) FILTER (fit)), 6) AS mean_fit, round(avg((price > 230000)::INT), 6) AS shed_share, max(top)::BIGINT AS top, max(most)::BIGINT AS most FROM k JOIN s USING (nation) GROUP BY 1""")
+def a60(s, d):
+    fit = F.substring("month", 6, 2).cast("int") % 2 == 1
+    return node_price(s, d).groupBy("nation").agg(r6(S.masked_mean("price", "weight", fit)).alias("mean_fit"), r6(F.avg((F.col("price") > 230000).cast("int"))).alias("shed_share"), F.max("price").alias("top"), F.max("weight").alias("most"))
+
+
+@query("a61_log_log_fit", f"""WITH {NE}, r AS (SELECT *, rank() OVER (ORDER BY J) + (count(*) OVER (PARTITION BY J) - 1) / 2 AS rj, rank() OVER (ORDER BY n_lines) + (count(*) OVER (PARTITION BY n_lines) - 1) / 2 AS rn FROM ne) SELECT round(regr_r2(log10(n_lines), log10(J)), 6) AS r2, round(corr(rj, rn), 6) AS spearman FROM r""")
+def a61(s, d):
+    r = nation_edge(s, d).withColumn("rj", S.mid_rank("J", [])).withColumn("rn", S.mid_rank("n_lines", []))  # one row per edge
+    return r.agg(r6(F.regr_r2(F.log10("n_lines"), F.log10("J"))).alias("r2"), r6(F.corr("rj", "rn")).alias("spearman"))
