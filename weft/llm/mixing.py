@@ -83,13 +83,15 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = 102
     order = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
     buckets = max(1, -(-sum(r["docs"] for r in order) // bucket_rows))
     passes = int(-(-most // 1))
-    table = [(i, r["source"], r["n"], float(goal[r["source"]]), -(-round(goal[r["source"]]) // block)) for i, r in enumerate(order)]
+    table = [(i, r["source"], r["n"], float(goal[r["source"]]), -(-int(goal[r["source"]] + 0.5) // block)) for i, r in enumerate(order)]
     sources = spark.createDataFrame(table, "src int, source string, source_size long, target double, quota long")
     named = F.broadcast(sources) if len(table) <= 100_000 else sources
     rows = rows.withColumnRenamed("source", "_source")
     rows = rows.join(named, rows["_source"].eqNullSafe(named["source"])).drop("_source")
     epochs = rows.select("_row", "doc_id", "src", "size", "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass")).where("size > 0")
-    epochs = epochs.withColumn("key", F.xxhash64("doc_id", "pass")).withColumn("bucket", F.pmod(F.shiftright("key", 20), F.lit(buckets)))
+    epochs = epochs.withColumn("key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "pass")))
+    first32 = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
+    epochs = epochs.withColumn("bucket", F.shiftright(first32 * buckets, 32))  # ascending with the key: buckets in a row are in the key's order
     sums = epochs.groupBy("src", "pass", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.select("src", "pass", "bucket", (F.sum("n").over(Window.partitionBy("src", "pass").orderBy("bucket")) - F.col("n")).alias("before"))
     inside = Window.partitionBy("src", "pass", "bucket").orderBy("key", "size", "_row").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,6 +109,21 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = 102
     return per_doc, mixed.join(named.select("src", "source"), "src").select("slot", "source", "doc_id", "first", "words")
 
 
+#: The quota of a source is its first words, in hash order and pass by pass, up to the target; the schedule orders, it does not choose.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY 1),
+w AS (SELECT source, n, 2.0::DOUBLE * n AS cap, [5, 2, 1][(k - 1) % 3 + 1] AS w, k FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / w, k) AS r FROM w),
+f AS (SELECT a.r, 1.5::DOUBLE * (SELECT sum(n) FROM s) - coalesce(sum(b.cap), 0) AS rest, (SELECT sum(w) FROM w) - coalesce(sum(b.w), 0) AS share FROM o a LEFT JOIN o b ON b.r < a.r GROUP BY 1),
+l AS (SELECT arg_min(rest, r) AS rest, arg_min(share, r) AS share, min(r) AS r FROM f JOIN o USING (r) WHERE rest * w / share <= cap),
+g AS (SELECT source, n, CASE WHEN o.r < coalesce(l.r, 1e9) THEN cap ELSE l.rest * w / l.share END AS target FROM o, l),
+e AS (SELECT doc_id, d.source, size, n, target, pass, n * pass + coalesce(sum(size) OVER (PARTITION BY d.source, pass ORDER BY md5(coalesce(doc_id::VARCHAR, 'null') || ':' || pass::VARCHAR), size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source, (SELECT unnest([0, 1]) AS pass))
+SELECT doc_id, size, n::BIGINT AS source_size, target, sum(greatest(least(a + size, round(target)) - a, 0))::BIGINT AS taken FROM e GROUP BY doc_id, source, size, n, target
+"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken")
 

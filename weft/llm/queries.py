@@ -16,4 +16,11 @@ QUERIES = {
     "op9_source_mixing": mixing.query,
     "op10_url_filters": url_filter.query,
 }
-ORACLE_SQL = {"op1_decontamination": decontaminate.ORACLE, "op5_chat_formatting": chat.ORACLE}
+ORACLE_SQL = {
+    "op1_decontamination": decontaminate.ORACLE,
+    "op3_suffix_array_dedup": suffix_dedup.ORACLE,
+    "op5_chat_formatting": chat.ORACLE,
+    "op7_minhash_near_dedup": near_dup.ORACLE,
+    "op9_source_mixing": mixing.ORACLE,
+    "op10_url_filters": url_filter.oracle(),
+}

@@ -296,6 +296,22 @@ def remove(docs: DataFrame, **parameters) -> DataFrame:
     return out.select(*[(F.col("_cut") if c == "text" else out[c]).alias(c) for c in docs.columns])
 
 
+#: Brute force: every 200-byte window of every text.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+c0 AS (SELECT doc_id, n, k, h[2000 * k + 1:2000 * k + 2400] AS h FROM (SELECT doc_id, n, h, unnest(range(0, n // 1000 + 1)) AS k FROM d WHERE n >= 200)),
+w AS (SELECT doc_id, 1000 * k + j AS i, md5_number(h[2 * j + 1:2 * j + 400]) AS g FROM (SELECT doc_id, h, k, unnest(range(0, least(1000, n - 199 - 1000 * k))) AS j FROM c0)),
+c AS (SELECT g FROM w GROUP BY 1 HAVING count(*) > 1),
+m AS (SELECT doc_id, i, i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 AS gap FROM w JOIN c USING (g)),
+k AS (SELECT doc_id, i, sum(coalesce(gap, true)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM m),
+s AS (SELECT doc_id, k, min(i) AS a, max(i) + 200 AS b FROM k GROUP BY 1, 2),
+t AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, list(a ORDER BY a) AS a, list(b ORDER BY b) AS b FROM s GROUP BY 1)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(0, n_spans + 1), lambda j: h[CASE WHEN j = 0 THEN 1 ELSE 2 * b[j] + 1 END:CASE WHEN j = n_spans THEN len(h) ELSE 2 * a[j + 1] END]), '') END)) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 

@@ -101,5 +101,33 @@ def judge(pages: DataFrame, rules=RULES, depth: int = 3, many: int = 20, share:
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", F.round("purity", 6).alias("purity"))
 
 
+def oracle(rules=RULES, depth: int = 3, many: int = 20, share: float = 0.2, z: float = 1.96, weight: float = 4.0, reject: float = 0.5) -> str:
+    """The same judgement as SQL over the table pages."""
+    ranked = sorted(rules, key=lambda r: (-len(r[1]), r[0] != "block"))
+    fits = [(f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}'))", what, rule) for what, rule in ranked for h, _, p in [rule.partition("/")]]
+    case = lambda i: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[i]}'" for f in fits) + " END"
+    fixed = "CASE WHEN regexp_matches(s, '[0-9]') OR length(s) >= 24 OR regexp_matches(s, '^[0-9a-fA-F]{8,}$') THEN '*' ELSE s END"
+    steps = [f"""u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT *, {case(2)} AS rule, {case(1)} AS ruled, array_to_string(list_transform(list_filter(string_split(path, '/'), lambda s: s <> '')[1:{depth}], lambda s: {fixed}), '/') AS shape FROM u),
+s0 AS (SELECT host, shape, count(*) AS rows, count(ruled) AS n, count(*) FILTER (ruled = 'block') AS bad, list_filter(string_split(shape, '/'), lambda s: s <> '') AS seg, host AS t0 FROM r GROUP BY host, shape)"""]
+    for d in range(1, depth + 1):
+        steps.append(f"""k{d} AS (SELECT t{d - 1} AS parent, seg[{d}] AS child, sum(rows) AS n FROM s{d - 1} WHERE len(seg) >= {d} GROUP BY 1, 2),
+w{d} AS (SELECT parent FROM k{d} GROUP BY 1 HAVING count(*) > {many} AND max(n) < {share} * sum(n)),
+s{d} AS (SELECT s{d - 1}.*, CASE WHEN len(seg) >= {d} THEN t{d - 1} || '/' || CASE WHEN parent IS NOT NULL THEN '*' ELSE seg[{d}] END END AS t{d} FROM s{d - 1} LEFT JOIN w{d} ON parent = t{d - 1})""")
+    steps.append(f"tot AS (SELECT coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM s{depth}), pri AS (SELECT (bad + {0.5 * weight}) / (n + {weight}) AS prior, n AS n_all FROM tot)")
+    for d in range(depth + 1):
+        up = f"LEFT JOIN p{d - 1} ON p{d - 1}.node = up" if d else ""
+        p_up, n_up = (f"p{d - 1}.p", f"p{d - 1}.n") if d else ("prior", "n_all")
+        steps.append(f"""l{d} AS (SELECT t{d} AS node, {f"min(t{d - 1})" if d else "NULL"} AS up, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM s{depth} WHERE n > 0 AND t{d} IS NOT NULL GROUP BY 1),
+q{d} AS (SELECT l{d}.node, l{d}.n, bad, {p_up} AS p_up, abs(bad / l{d}.n - {p_up}) > {z} * sqrt({p_up} * (1 - {p_up}) * (1 / l{d}.n + 1 / greatest({n_up}, 1))) AS own FROM l{d} {up}, pri),
+p{d} AS (SELECT node, n, own, CASE WHEN own THEN (bad + {weight} * p_up) / (n + {weight}) ELSE p_up END AS p FROM q{d})""")
+    last = range(depth, -1, -1)
+    steps.append(f"""j AS (SELECT host, shape, coalesce({", ".join(f"p{d}.p" for d in last)}, prior) AS purity, CASE {" ".join(f"WHEN p{d}.own THEN p{d}.node" for d in last)} ELSE '' END AS template
+  FROM s{depth} {" ".join(f"LEFT JOIN p{d} ON p{d}.node = t{d}" for d in range(depth + 1))}, pri)""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= {reject} THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6) AS purity FROM r JOIN j USING (host, shape)"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "pages"))
