@@ -75,7 +75,7 @@ def test_quality_statistics(spark):
     rows = [*corpus(), (900, "a b c d e f a b c d e x\nline\nline\n\n###|<>$%&*\x0b w", "en", "s", 1), (901, "x " * 10, "en", "s", 1)]
     docs = frame(spark, rows)
     trusted = spark.createDataFrame([(i,) for i in range(40)] + [(None,), (3,)], "doc_id long")
-    out = quality.assess(docs, quality.fit(docs, trusted, buckets=1024), buckets=1024).collect()
+    out = quality.assess(docs, quality.fit(docs, trusted, buckets=1024), buckets=1024).select("doc_id", "text", "_quality.*").collect()
     assert len(out) == len(rows)
     by = {(r["doc_id"], r["text"]): r for r in out}
     for i, text, *_ in rows:
@@ -91,17 +91,24 @@ def test_quality_rejects_what_is_unlike_the_target(spark):
     bad = [(100 + i, " ".join(f"w{(i * 3 + k) % 30}$$$ ###" for k in range(30)), "en", "s", 1) for i in range(10)]
     docs = frame(spark, good + bad)
     trusted = spark.createDataFrame([(i,) for i in range(20)], "doc_id long")
-    out = {r["doc_id"]: r for r in quality.assess(docs, quality.fit(docs, trusted)).collect()}
+    out = {r["doc_id"]: r for r in quality.assess(docs, quality.fit(docs, trusted)).select("doc_id", "_quality.*").collect()}
     assert all(out[i]["kept"] for i in range(40)) and not any(out[100 + i]["kept"] for i in range(10))
     shuffled = quality.assess(docs, quality.fit(docs, trusted, max_broadcast_rows=1))  # the other way of joining
-    assert {r["doc_id"]: r["score"] for r in shuffled.collect()} == {i: r["score"] for i, r in out.items()}
+    assert {r["doc_id"]: r["_quality"]["score"] for r in shuffled.collect()} == {i: r["score"] for i, r in out.items()}
 
 
 def test_quality_of_empty_tables(spark):
     none, labels = frame(spark, []), spark.createDataFrame([], "doc_id long")
     assert quality.assess(none, quality.fit(none, labels)).count() == 0
     docs = frame(spark, corpus())
-    assert {r["score"] for r in quality.assess(docs, quality.fit(docs, labels)).collect()} == {0.0}
+    assert {r["_quality"]["score"] for r in quality.assess(docs, quality.fit(docs, labels)).collect()} == {0.0}
+
+
+def test_quality_stage_keeps_clashing_columns(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20)), "mine", False), (2, "x", "mine", True)], "doc_id long, text string, score string, kept boolean")
+    out = quality.stage(spark, docs, str(tmp_path)).collect()
+    assert [(r["doc_id"], r["score"], r["kept"]) for r in out] == [(1, "mine", False)]
 
 
 def test_licenses(spark):

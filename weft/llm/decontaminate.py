@@ -178,15 +178,15 @@ def annotate(docs: DataFrame, benchmark: DataFrame, into: str = "_decon", window
             for batch in batches:
                 found = [index.value.find(t) for t in _texts(batch)]
                 own = pa.array([{"n_words": n, "spans": [x for s in sorted(set(spans)) for x in s], "items": sorted(its)} for n, spans, its in found], kind)
-                yield pa.RecordBatch.from_arrays([batch.column(0), own], names=["_row", "hits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), own], names=["_weft_row", "hits"])
 
         return run
 
     if n_blocks == 1:
         return docs.mapInArrow(judged(block(0)), T.StructType([*docs.schema.fields, T.StructField(into, RESULT)]))
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "decon-rows")
-    schema = T.StructType([T.StructField("_row", T.LongType()), T.StructField("hits", HITS)])
-    every = [rows.select("_row", "text").mapInArrow(hits(block(b)), schema) for b in range(n_blocks)]
+    rows = materialize(docs.withColumn("_weft_row", F.monotonically_increasing_id()), "decon-rows")
+    schema = T.StructType([T.StructField("_weft_row", T.LongType()), T.StructField("hits", HITS)])
+    every = [rows.select("_weft_row", "text").mapInArrow(hits(block(b)), schema) for b in range(n_blocks)]
     found = every[0]
     for more in every[1:]:
         found = found.unionByName(more)
@@ -197,10 +197,10 @@ def annotate(docs: DataFrame, benchmark: DataFrame, into: str = "_decon", window
             for parts in batch.column(1).to_pylist():
                 spans = [x for p in parts for x in zip(p["spans"][::2], p["spans"][1::2], strict=True)]
                 out.append(_verdict(parts[0]["n_words"], spans, {i for p in parts for i in p["items"]}))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]))], names=["_row", into])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]))], names=["_weft_row", into])
 
-    whole = found.groupBy("_row").agg(F.collect_list("hits").alias("parts")).mapInArrow(merged, T.StructType([T.StructField("_row", T.LongType()), T.StructField(into, RESULT)]))
-    return rows.join(whole, "_row").drop("_row")
+    whole = found.groupBy("_weft_row").agg(F.collect_list("hits").alias("parts")).mapInArrow(merged, T.StructType([T.StructField("_weft_row", T.LongType()), T.StructField(into, RESULT)]))
+    return rows.join(whole, "_weft_row").drop("_weft_row")
 
 
 #: Brute force: every 13-word window of every document against every window of every item.

@@ -10,7 +10,8 @@ plan as a constant, so that scoring moves no row.
 
 Defined cases: null and empty texts have no words: all counts 0, score 0, base_failed true (fewer than 10 words), kept
 false; repeated rows are scored alike, and each counts; labels of unknown rows are ignored; a trusted row that is repeated
-in labels counts once; without trusted rows every score is 0; an empty table gives no rows; other columns are ignored.
+in labels counts once; without trusted rows every score is 0; an empty table gives no rows; columns of
+docs stay as they are, whatever their names: the result is one more column, a struct named by ``into``.
 """
 
 from __future__ import annotations
@@ -83,16 +84,20 @@ def fit(docs: DataFrame, trusted_ids: DataFrame, buckets: int = 1 << 14, max_bro
     return one.select(F.when(F.col("n_target") == 0, F.array_repeat(F.lit(0.0), buckets)).otherwise(F.transform("c", ratio)).alias("ratios"))
 
 
-def assess(docs: DataFrame, model: DataFrame, buckets: int = 1 << 14, threshold: float = -0.3) -> DataFrame:
-    """All columns of docs, then n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept."""
+def assess(docs: DataFrame, model: DataFrame, buckets: int = 1 << 14, threshold: float = -0.3, into: str = "_quality") -> DataFrame:
+    """docs with a struct column ``into``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept."""
     ratios = F.split(F.lit(",".join(map(repr, model.first()["ratios"]))), ",").cast("array<double>")  # folded to a constant
-    score = lambda b: F.when(F.size(b) == 0, 0.0).otherwise(F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(ratios, x)) / F.size(b))
-    out = docs.select("*", text_stats(F.col("text")).alias("_s"), let(ngram_buckets(F.col("text"), buckets), score).alias("_score"))
-    failed = (F.col("_s.n_words") < 10) | (100 * F.col("_s.n_repeat_words") > 20 * F.col("_s.n_words"))
+    mean = lambda b: F.when(F.size(b) == 0, 0.0).otherwise(F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(ratios, x)) / F.size(b))
+    score = F.round(let(ngram_buckets(F.col("text"), buckets), mean), 9)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    own = [out[c] for c in docs.columns if c not in (*names, "base_failed", "score", "kept")]
-    return out.select(*own, *[F.col(f"_s.{n}").alias(n) for n in names], failed.alias("base_failed"),
-                      F.round("_score", 9).alias("score"), (~failed & (F.round("_score", 9) >= threshold)).alias("kept"))
+
+    def verdict(x):
+        s, value = x["stats"], x["score"]
+        failed = (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])
+        return F.struct(*[s[n].alias(n) for n in names], failed.alias("base_failed"), value.alias("score"), (~failed & (value >= threshold)).alias("kept"))
+
+    both = F.struct(text_stats(F.col("text")).alias("stats"), score.alias("score"))
+    return docs.select("*", let(both, verdict).alias(into))
 
 
 def trusted_from_labels(labels: DataFrame) -> DataFrame:
@@ -102,10 +107,10 @@ def trusted_from_labels(labels: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = assess(docs, fit(docs, trusted_from_labels(read_table(spark, sf_dir, "labels"))))
-    return out.drop("text")
+    return out.select("doc_id", "_quality.*")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's filter: rejected documents go, the others keep the columns of documents."""
-    out = assess(docs, fit(docs, trusted_from_labels(read_table(spark, sf_dir, "labels"))))
-    return out.where("kept").select(*docs.columns)
+    out = assess(docs, fit(docs, trusted_from_labels(read_table(spark, sf_dir, "labels"))), into="_weft_quality")
+    return out.where("_weft_quality.kept").select(*docs.columns)

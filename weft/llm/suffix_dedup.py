@@ -284,16 +284,16 @@ def report(docs: DataFrame, **parameters) -> DataFrame:
 
 def remove(docs: DataFrame, **parameters) -> DataFrame:
     """docs with the repeated bytes cut from ``text``, other columns as they are."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "suffix-rows")
-    packed, spans = find(rows.select(F.col("_row").alias("doc_id"), "text"), **parameters)
+    rows = materialize(docs.withColumn("_weft_row", F.monotonically_increasing_id()), "suffix-rows")
+    packed, spans = find(rows.select(F.col("_weft_row").alias("doc_id"), "text"), **parameters)
 
     def make(row, texts, own):
         cut = [(i, _rest(t, s).decode("utf-8", "ignore")) for i, t, s in zip(row["ids"], texts, own, strict=True) if s]
-        return pa.table({"_row": pa.array([i for i, _ in cut], pa.int64()), "_cut": pa.array([t for _, t in cut], pa.string())})
+        return pa.table({"_weft_row": pa.array([i for i, _ in cut], pa.int64()), "_weft_cut": pa.array([t for _, t in cut], pa.string())})
 
-    cut = _documents(packed, spans, make, "_row long, _cut string")
-    out = rows.join(cut, "_row", "left").withColumn("_cut", F.coalesce("_cut", "text"))
-    return out.select(*[(F.col("_cut") if c == "text" else out[c]).alias(c) for c in docs.columns])
+    cut = _documents(packed, spans, make, "_weft_row long, _weft_cut string")
+    out = rows.join(cut, "_weft_row", "left").withColumn("_weft_cut", F.coalesce("_weft_cut", "text"))
+    return out.select(*[(F.col("_weft_cut") if c == "text" else out[c]).alias(c) for c in docs.columns])
 
 
 #: Brute force: every 200-byte window of every text.
