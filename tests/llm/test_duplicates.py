@@ -283,3 +283,23 @@ def test_pipeline(spark, tmp_path):
         assert abs(groups[r["source"]] - r["target"]) <= 1
     for r in docs.where("text is not null").collect():
         assert r["n_chars"] == len(r["text"]) and words(r["text"]) is not None
+
+
+def test_repeated_windows_with_an_anchor_symbol():
+    rng = random.Random(6)
+    gram = bytes(range(200, 232))
+    pieces, lefts = [], []
+    for _ in range(12):
+        left = rng.randint(5, 40)
+        tail = bytes(rng.choice(b"ab") for _ in range(60))
+        pieces.append((b"abab" * 20)[-left:] + gram + (b"c" * 60 if rng.random() < 0.5 else tail))
+        lefts.append(left)
+    lasts = [min(left, len(p) - 60) for p, left in zip(pieces, lefts, strict=True)]
+    pieces = [p[: last + 60] for p, last in zip(pieces, lasts, strict=True)]
+    windows = Counter(p[d : d + 60] for p, last in zip(pieces, lasts, strict=True) for d in range(last + 1))
+    want = [[d for d in range(last + 1) if windows[p[d : d + 60]] > 1] for p, last in zip(pieces, lasts, strict=True)]
+    usable = [all(left + 32 <= d + 60 for d in range(last + 1)) for left, last in zip(lefts, lasts, strict=True)]
+    assert suffix_sort.repeated(pieces, lasts, 60) == want and any(want)
+    pick = [i for i, u in enumerate(usable) if u]
+    sub = [pieces[i] for i in pick], [lasts[i] for i in pick]
+    assert suffix_sort.repeated(*sub, 60, [lefts[i] for i in pick], 32) == suffix_sort.repeated(*sub, 60)

@@ -133,7 +133,7 @@ def total_counts(bundles: DataFrame, keys_of: Callable[[dict], tuple[np.ndarray,
         if ignore is not None:
             marked &= every != np.uint64(ignore)
         at = np.cumsum([0, *map(len, keys)])
-        packed = [pack_numbers(np.minimum(totals[inverse[a:b]], 0xFFFFFFFF).astype(np.uint32)) for a, b in zip(at, at[1:], strict=False)]
+        packed = [pack_numbers(totals[inverse[a:b]].astype(np.uint64)) for a, b in zip(at, at[1:], strict=False)]
         first = [1] + [0] * (len(names) - 1)
         return pa.table({"bundle": pa.array(names, pa.int64()), "part": table.column("part").cast(pa.int32()), "totals": pa.array(packed, pa.binary()), "n_types": pa.array([int(marked.sum()) * f for f in first], pa.int64()), "n_tokens": pa.array([int(totals[marked].sum()) * f for f in first], pa.int64())})
 
@@ -146,7 +146,7 @@ def with_totals(bundles: DataFrame, answers: DataFrame, each: Callable[[dict, np
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("part").to_numpy())
         blobs = right.column("totals").to_pylist()
-        totals = np.concatenate([np.zeros(0, np.uint32), *[unpack_numbers(blobs[i], np.uint32) for i in order]])
+        totals = np.concatenate([np.zeros(0, np.uint64), *[unpack_numbers(blobs[i], np.uint64) for i in order]])
         return each(next(rows_of(left.combine_chunks())), totals)
 
     return bundles.groupBy("bundle").cogroup(answers.select("bundle", "part", "totals").groupBy("bundle")).applyInArrow(meet, schema)

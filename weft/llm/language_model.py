@@ -122,7 +122,7 @@ def em_table(counted: DataFrame, n: int) -> np.ndarray:
             rows = zip(*[batch.column(at[c]).to_pylist() for c in ("uni", "bi", "begins")], strict=True)
             parts = []
             for u, b, begins in rows:
-                uni, bi = B.unpack_numbers(u, np.uint32).astype(np.float64), B.unpack_numbers(b, np.uint32).astype(np.float64)
+                uni, bi = B.unpack_numbers(u, np.uint64).astype(np.float64), B.unpack_numbers(b, np.uint64).astype(np.float64)
                 context = _contexts(uni, begins) - 1
                 with np.errstate(divide="ignore", invalid="ignore"):
                     x2 = np.where((context > 0) & (bi > 1), np.rint(8 * np.log2((bi - 1) / context)), -9999)
@@ -174,7 +174,7 @@ def score(counted: DataFrame, n: int, v: int, weights: np.ndarray) -> DataFrame:
             at = {name: i for i, name in enumerate(batch.schema.names)}
             out = {"n_known": [], "base_score": [], "score": []}
             for u, b, begins in zip(*[batch.column(at[c]).to_pylist() for c in ("uni", "bi", "begins")], strict=True):
-                uni, bi = B.unpack_numbers(u, np.uint32).astype(np.float64), B.unpack_numbers(b, np.uint32).astype(np.float64)
+                uni, bi = B.unpack_numbers(u, np.uint64).astype(np.float64), B.unpack_numbers(b, np.uint64).astype(np.float64)
                 context = _contexts(uni, begins)
                 w = weights[_bucket(context)]
                 p = w[:, 0] * np.where(context > 0, bi / np.maximum(context, 1), 0) + w[:, 1] * (uni / max(n, 1)) + w[:, 2] / (v + 1)

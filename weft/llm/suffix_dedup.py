@@ -110,7 +110,7 @@ def _answers(rows: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([_runs(r[2]) for r in rows], pa.list_(pa.int32()))], names=["owner", "id", "runs"])
 
 
-def _sorted_blocks(blocks: DataFrame, length: int) -> DataFrame:
+def _sorted_blocks(blocks: DataFrame, length: int, gram: int) -> DataFrame:
     """ANSWER rows of blocks(STRETCH) that are small enough to be gathered."""
 
     def run(batches):
@@ -119,7 +119,7 @@ def _sorted_blocks(blocks: DataFrame, length: int) -> DataFrame:
         def solved():
             if len(rows) < 2 or not any(r[4] is not None for r in rows):
                 return []
-            hits = repeated([r[3] for r in rows], [len(r[3]) - length for r in rows], length)
+            hits = repeated([r[3] for r in rows], [len(r[3]) - length for r in rows], length, [r[2] for r in rows], gram)
             return [(r[4], r[1], h) for r, h in zip(rows, hits, strict=True) if r[4] is not None]
 
         for batch in batches:
@@ -210,7 +210,7 @@ def find(docs: DataFrame, length: int = 200, gram: int = 32, block: int = 256) -
     sizes = materialize(sizes.where("n > 1 and open > 0").select("anchor", "n"), "block-sizes")
     small = rows.join(sizes.where(F.col("n") <= block).select("anchor"), "anchor").select("anchor", "id", "left", "data", "owner")
     large = rows.join(sizes.where(F.col("n") > block).select("anchor"), "anchor").select("anchor", "id", "left", "data", "owner")
-    hits = _sorted_blocks(small, length)
+    hits = _sorted_blocks(small, length, gram)
     if not sizes.where(F.col("n") > block).isEmpty():
         hits = hits.union(_counted_blocks(large, length))
     hits = materialize(hits, "repeats").groupBy("owner").agg(F.collect_list(F.struct("id", "runs")).alias("hits"))

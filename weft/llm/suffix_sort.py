@@ -100,22 +100,30 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     return out
 
 
-def repeated(pieces: list[bytes], lasts: list[int], length: int) -> list[list[int]]:
-    """For each piece, the starts 0..last whose ``length`` bytes start at one of these places of any other piece too."""
+def repeated(pieces: list[bytes], lasts: list[int], length: int, lefts: list[int] | None = None, gram: int = 0) -> list[list[int]]:
+    """For each piece, the starts 0..last whose ``length`` bytes start at one of these places of any other piece too. Where all
+    windows hold the same ``gram`` bytes at ``lefts``, those count as one symbol that nothing else equals."""
+    skip = max(0, gram - 1)
+    if skip:
+        pieces = [p[:at] + p[at + skip :] for p, at in zip(pieces, lefts, strict=True)]
+        length -= skip
     joined = b"\xff".join(pieces)  # windows end inside their piece, so that any separator will do
-    owner, bases, at = [-1] * len(joined), [], 0
+    text, owner, bases, at = list(joined), [-1] * len(joined), [], 0
     for k, piece in enumerate(pieces):
         bases.append(at)
         owner[at : at + lasts[k] + 1] = [k] * (lasts[k] + 1)
+        if skip:
+            text[at + lefts[k]] = 256
         at += len(piece) + 1
     hits: list[set[int]] = [set() for _ in pieces]
-    before, window = -1, b""
-    for s in suffix_array(joined):
-        if owner[s] < 0:
+    before, window = (-1, -1), b""
+    for s in suffix_array(text):
+        k = owner[s]
+        if k < 0:
             continue
-        own = joined[s : s + length]
-        if own == window:
-            hits[owner[s]].add(s - bases[owner[s]])
-            hits[owner[before]].add(before - bases[owner[before]])
-        before, window = s, own
+        own, d = joined[s : s + length], s - bases[k]
+        if own == window and (not skip or d == before[1] + lefts[k] - lefts[before[0]]):
+            hits[k].add(d)
+            hits[before[0]].add(before[1])
+        before, window = (k, d), own
     return [sorted(h) for h in hits]
