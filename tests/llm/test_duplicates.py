@@ -10,8 +10,9 @@ import numpy as np
 import pytest
 
 from tests.llm.helpers import corpus, frame, lower, words
-from weft.llm import bundles, graph, language_model, near_dup, suffix_dedup, suffix_sort, toxicity
+from weft.llm import bundles, language_model, near_dup, suffix_dedup, suffix_sort, toxicity
 from weft.llm.common import materialize
+from weft.operators import graph
 
 
 def components(rows):

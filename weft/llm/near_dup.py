@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from weft.llm import bundles as B
 from weft.llm.common import broadcast_if_small, materialize, read_table
-from weft.llm.graph import components
+from weft.operators.graph import components
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
