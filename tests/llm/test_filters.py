@@ -228,5 +228,23 @@ def test_mixing_keeps_low_discrepancy(spark):
         assert abs(sum(r["src"] == 0 for r in rows[:k]) - k / 2) <= 3
 
 
+@pytest.mark.parametrize("quota", [[8043, 1, 16956], [7813, 2, 17185], [4332, 40, 20628], [0, 3, 0, 1]])
+def test_mixing_gives_small_sources_their_quota(spark, quota):
+    rows = mixing.schedule(spark, list(enumerate(quota))).collect()
+    assert len({r["slot"] for r in rows}) == len(rows) == sum(quota)
+    for s, n in enumerate(quota):
+        assert sorted(r["rank"] for r in rows if r["src"] == s) == list(range(n))
+
+
+def test_mixing_takes_small_sources_whole(spark):
+    """A source of one word between two large ones gets one of 25,000 slots, which the golden-ratio sequence passes by."""
+    sizes = {"a": 6090, "b": 1, "c": 38643}
+    docs = [(i, "w " * n, "en", s, 2 * n) for i, (s, n) in enumerate(sizes.items())]
+    per_doc, mixed = mixing.mix(frame(spark, docs), block=2)
+    want = mixing.targets(list(sizes.items()))
+    assert {r["source"]: r["taken"] for r in per_doc.collect()} == {s: round(t) for s, t in want.items()}
+    assert mixed.where("source = 'b'").select("slot").distinct().count() == 1
+
+
 def test_schema(spark):
     assert frame(spark, []).schema.simpleString() == "struct<" + DOCS.replace("long", "bigint").replace(" ", ":").replace(",:", ",") + ">"

@@ -7,8 +7,8 @@ slot its source; slots are ranked within their source. Blocks: each source's doc
 every pass, laid end to end, and cut into blocks of ``block`` words; slot rank r takes block r. What a document gives is its
 words inside the taken blocks. Rank and prefix sums go by hash or range buckets first, so that no source is one task.
 
-Low discrepancy leaves a source a few slots off its share; the schedule is as long as needed and each source takes exactly
-its quota of slots (round up, the last block cut at the target), in the schedule's order.
+Low discrepancy leaves a source a few slots off its share, and can pass a small source by; ranks that the sequence did not reach
+get slots of their own after it. So each source takes exactly its quota of slots (round up, the last block cut at the target), in the schedule's order.
 
 Defined cases: null and empty texts have size 0 and give nothing; a null source is a source of its own, the last; repeated
 rows (also of doc_id) are documents of their own, next to each other in every pass; all sizes 0 or an empty table: targets 0; other columns are ignored.
@@ -53,19 +53,23 @@ def schedule(spark: SparkSession, quota: list[tuple[int, int]]) -> DataFrame:
         return spark.createDataFrame([], "slot long, src int, rank long")
     edges, at = [], 0
     for src, n in quota:
-        edges.append((src, at / total, n))
+        edges.append((src, at / total, n, at))
         at += n
     length = int(total * 1.02) + 64 * (len(quota) + 1)  # a golden-ratio sequence is off by O(log n) points in any interval
     u = F.pmod((F.col("id") + 0.5) * GOLDEN, F.lit(1.0))
-    lows = F.split(F.lit(",".join(repr(low) for _, low, _ in edges)), ",").cast("array<double>")
-    names = F.split(F.lit(",".join(str(s) for s, _, _ in edges)), ",").cast("array<int>")
+    lows = F.split(F.lit(",".join(repr(low) for _, low, *_ in edges)), ",").cast("array<double>")
+    names = F.split(F.lit(",".join(str(s) for s, *_ in edges)), ",").cast("array<int>")
     src: Column = F.get(names, F.size(F.filter(lows, lambda x: x <= u)) - 1)
     slots = spark.range(length).select(F.col("id").alias("slot"), F.floor(F.col("id") / 65536).alias("chunk"), src.alias("src"))
     before = slots.groupBy("src", "chunk").agg(F.count("*").alias("n"))
     before = before.select("src", "chunk", (F.sum("n").over(Window.partitionBy("src").orderBy("chunk")) - F.col("n")).alias("before"))
     ranked = slots.withColumn("own", F.row_number().over(Window.partitionBy("src", "chunk").orderBy("slot")) - 1).join(before, ["src", "chunk"])
-    limit = spark.createDataFrame([(s, n) for s, _, n in edges], "src int, quota long")
-    return ranked.select("slot", "src", (F.col("own") + F.col("before")).alias("rank")).join(F.broadcast(limit), "src").where("rank < quota").drop("quota")
+    limit = F.broadcast(spark.createDataFrame([(s, n, at) for s, _, n, at in edges], "src int, quota long, at long"))
+    reached = ranked.select("slot", "src", (F.col("own") + F.col("before")).alias("rank")).join(limit, "src").where("rank < quota").select("slot", "src", "rank")
+    # A source's interval can hold fewer points than its quota; the ranks left follow the sequence, source by source.
+    left = limit.join(slots.groupBy("src").agg(F.count("*").alias("n")), "src", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < quota")
+    left = left.withColumn("rank", F.explode(F.sequence(F.col("n"), F.col("quota") - 1)))
+    return reached.union(left.select((F.lit(length) + F.col("at") + F.col("rank")).alias("slot"), "src", "rank"))
 
 
 def size_of(text: Column) -> Column:
