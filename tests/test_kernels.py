@@ -9,6 +9,7 @@ import pytest
 from weft.operators.kernels import dynamics as D
 from weft.operators.kernels import lp
 from weft.operators.kernels import partition as P
+from weft.plans import catalog
 
 RNG = np.random.default_rng(0)
 
@@ -146,3 +147,23 @@ def test_ridge():
     y = x @ np.array([1.0, -2.0, 0.0]) + 5
     p = D.cross_validated(np.c_[x, np.ones(200)], y, np.arange(200) % 5, 1e-6)
     assert np.abs(p - y).max() < 1e-4
+
+
+def test_ridge_by_moments():
+    x = np.c_[RNG.normal(size=(203, 2)) + 50, np.full(203, 3.0)]
+    y, fold = x[:, 0] * 2 + RNG.normal(size=203) + 1000, np.arange(203) % 5
+    rows = [np.c_[x, y][fold == f] for f in range(5)]
+    n, mean, cov = np.array([float(len(r)) for r in rows]), np.stack([r.mean(axis=0) for r in rows]), np.stack([np.cov(r.T, bias=True) for r in rows])
+    for alpha in (1.0, 100.0):
+        p = D.cross_validated(x, y, fold, alpha)
+        assert D.cross_validated_r2(n, mean, cov, alpha) == pytest.approx(1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+
+
+def test_ridge_query_takes_every_part(spark, tmp_path):
+    key = np.arange(1500, 2600)
+    part = pd.DataFrame({"p_partkey": key, "p_name": ["n" * int(k) for k in RNG.integers(3, 30, len(key))], "p_size": RNG.integers(1, 50, len(key)).astype("int32")})
+    part["p_retailprice"] = 900.0 + 7 * part["p_size"] * np.where(key > 2000, -1, 1) + RNG.normal(size=len(key))
+    spark.createDataFrame(part).write.parquet(str(tmp_path / "part.parquet"))
+    x, y = np.c_[part["p_name"].str.len(), part["p_size"], key % 7].astype(float), part["p_retailprice"].to_numpy()
+    want = {a: 1 - ((y - D.cross_validated(x, y, key % 5, a)) ** 2).sum() / ((y - y.mean()) ** 2).sum() for a in (1.0, 10.0, 100.0)}
+    assert {r["alpha"]: r["r2"] for r in catalog.QUERIES["o18_ridge"](spark, str(tmp_path)).collect()} == pytest.approx(want, abs=2e-6)

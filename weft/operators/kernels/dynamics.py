@@ -128,3 +128,24 @@ def cross_validated(x: np.ndarray, y: np.ndarray, fold: np.ndarray, alpha: float
         w, mean, scale, base = ridge(x[fold != f], y[fold != f], alpha)
         out[fold == f] = (x[fold == f] - mean) / scale @ w + base
     return out
+
+
+def cross_validated_r2(n: np.ndarray, mean: np.ndarray, cov: np.ndarray, alpha: float) -> float:
+    """r2 of the out-of-fold predictions of ``cross_validated`` from moments alone: per fold its rows n, and of (features, target)
+    the means and the population covariances."""
+
+    def pooled(n, mean, cov):
+        m = n @ mean / n.sum()
+        d = mean - m
+        return m, np.einsum("f,fij->ij", n, cov) + (n[:, None] * d).T @ d
+
+    k, miss = mean.shape[1] - 1, 0.0
+    for f in range(len(n)):
+        rest = np.arange(len(n)) != f
+        m, c = pooled(n[rest], mean[rest], cov[rest])
+        scale = np.sqrt(np.diag(c)[:k] / n[rest].sum())
+        scale = np.where(scale > 1e-12, scale, np.inf)
+        w = np.linalg.solve(c[:k, :k] / np.outer(scale, scale) + alpha * np.eye(k), c[:k, k] / scale)
+        v = np.append(-w / scale, 1.0)  # the residual as a linear form
+        miss += n[f] * (v @ cov[f] @ v + ((mean[f] - m) @ v) ** 2)
+    return float(1 - miss / pooled(n, mean, cov)[1][k, k])
