@@ -167,3 +167,12 @@ def test_ridge_query_takes_every_part(spark, tmp_path):
     x, y = np.c_[part["p_name"].str.len(), part["p_size"], key % 7].astype(float), part["p_retailprice"].to_numpy()
     want = {a: 1 - ((y - D.cross_validated(x, y, key % 5, a)) ** 2).sum() / ((y - y.mean()) ** 2).sum() for a in (1.0, 10.0, 100.0)}
     assert {r["alpha"]: r["r2"] for r in catalog.QUERIES["o18_ridge"](spark, str(tmp_path)).collect()} == pytest.approx(want, abs=2e-6)
+
+
+def test_linear_programs_solve_every_month(spark):
+    d = "/root/testdata/sf0.001"
+    months = {r["month"] for r in spark.read.parquet(f"{d}/orders.parquet").selectExpr("date_format(o_orderdate, 'yyyy-MM') AS month").distinct().collect()}
+    assert min(months) < "1998-01"
+    for name in ("o01_dc_opf", "o02_zonal_market", "o03_redispatch"):
+        rows = catalog.QUERIES[name](spark, d).collect()
+        assert {r["hour"] for r in rows} == months and len(rows) == len(months) * (1 if name == "o03_redispatch" else 25), name

@@ -31,10 +31,11 @@ def network(s, d):
 
 
 def loads(s, d):
+    """(hour, load) of every hour, dealt over the cluster: a fixed number of partitions is not coalesced, as these few bytes would be."""
     np_ = node_price(s, d)
     full = np_.select("month").distinct().join(F.broadcast(t(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("nation"))))
     rows = full.join(np_.select("month", "nation", "weight"), ["month", "nation"], "left").fillna(0)
-    return rows.groupBy(F.col("month").alias("hour")).agg(F.transform(F.array_sort(F.collect_list(F.struct("nation", "weight"))), lambda x: x["weight"].cast("double")).alias("load")).where("hour >= '1998-01'")
+    return rows.groupBy(F.col("month").alias("hour")).agg(F.transform(F.array_sort(F.collect_list(F.struct("nation", "weight"))), lambda x: x["weight"].cast("double")).alias("load")).repartition(4 * s.sparkContext.defaultParallelism, "hour")
 
 
 @query("o01_dc_opf", None)
