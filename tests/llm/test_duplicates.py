@@ -160,6 +160,14 @@ def test_suffix_remove_keeps_rows_and_columns(spark):
     assert suffix_dedup.remove(frame(spark, [])).count() == 0 and suffix_dedup.report(frame(spark, [])).count() == 0
 
 
+def test_suffix_spans_of_empty_texts_between_copies(spark):
+    copy = " ".join(str(k * k) for k in range(90))
+    docs = frame(spark, [(1, copy, "en", "s", 1), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (4, copy, "en", "s", 1)]).coalesce(1)
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.report(docs.select("doc_id", "text")).collect()}
+    assert got == {1: (len(copy), 1), 2: (0, 0), 3: (0, 0), 4: (len(copy), 1)}
+    assert {r["doc_id"]: r["text"] for r in suffix_dedup.remove(docs).collect()} == {1: "", 2: None, 3: "", 4: ""}
+
+
 def test_packed_numbers():
     x = np.array([0, 5, 5, 2**63, 2**64 - 1], dtype=np.uint64)
     assert (bundles.unpack_sorted(bundles.pack_sorted(x)) == x).all()

@@ -249,7 +249,8 @@ def _documents(packed: DataFrame, spans: DataFrame, make, schema: str) -> DataFr
         for text in texts:
             own, end = [], at + len(text)
             while k < len(every) and every[k, 0] < end:  # a span may run on from one text's end to the next one's start
-                own.append((int(max(every[k, 0], at)) - at, int(min(every[k, 1], end)) - at))
+                if text:  # an empty one inside a span has none of its bytes
+                    own.append((int(max(every[k, 0], at)) - at, int(min(every[k, 1], end)) - at))
                 if every[k, 1] > end:
                     break
                 k += 1
