@@ -2,16 +2,18 @@
 
 1. Voters. Lexicon voters are words and word beginnings (4 to 7 letters) that labelled training rows show to be one-sided:
    each votes toxic or abstains. They are grouped into ``groups`` voters by hash, so that each voter is a lexicon of its own;
-   pattern voters (second person with a lexicon word near, shouting, symbols, long clean text) vote either way.
+   three pattern voters count its hits: three or more vote toxic; shouting without one, and over 400 bytes without one, vote
+   clean. No voter votes toxic on a text that the lexicon has no term of.
 2. Label model. Votes of the sample are a mixture of two classes. Accuracies and propensities are estimated by expectation-
    maximisation, started from the labels; pairwise correlations of voters within the classes are estimated and a voter's
    log-odds are divided by one plus the positive correlations it has with the others, so that voters that repeat one another do not
    count twice. The posterior is the soft label of every sampled row.
-3. A logistic regression on hashed words, word beginnings and the voters' counts is trained on the posterior labels by full-batch
+3. A logistic regression on hashed words, the votes, the voters' counts and log length is trained on the posterior labels by full-batch
    Newton-like steps (deterministic) and scores every whole text.
 
-Voters, label model and classifier are fitted on at most ``sample_rows`` labelled rows outside the held-out fold: those with the
-smallest hash of doc_id. That is the one bounded sample; scoring covers every row, with no state but the model's fixed size.
+The lexicon, label model and classifier are fitted on at most ``sample_rows`` labelled rows outside the held-out fold: those with the
+smallest hash of doc_id, of all labels, also of rows that docs lacks. A toxic word that is rare in that sample is not in the
+lexicon, however many labelled rows have it. That is the one bounded sample; scoring covers every row, with no state but the model's fixed size.
 
 Defined cases: null and empty texts have no features and get the model's base rate; labels of unknown rows and null labels
 are ignored; repeated rows are scored one by one; without toxic (or without clean) training rows every score is the smoothed base rate;
