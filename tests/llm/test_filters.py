@@ -6,9 +6,10 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import DOCS, corpus, frame, lower, words
-from weft.llm import chat, decontaminate, licenses, mixing, quality, url_filter
+from weft.llm import chat, common, decontaminate, licenses, mixing, quality, url_filter
 
 WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
 
@@ -201,7 +202,7 @@ def test_mixing(spark):
     sizes = Counter()
     for _, text, _, source, _ in rows:
         sizes[source] += len(words(text))
-    want = mixing.targets(list(sizes.items()))
+    want = targets_of(spark, list(sizes.items()))
     taken = Counter()
     for r in got:
         taken[r["source"]] += r["taken"]
@@ -215,36 +216,93 @@ def test_mixing(spark):
     assert [r["taken"] for r in mixing.mix(frame(spark, [(1, "", "en", "a", 0), (2, None, "en", None, 0)]))[0].collect()] == [0, 0]
 
 
-def test_mixing_targets():
-    assert mixing.targets([("a", 100), ("b", 100), (None, 100)]) == pytest.approx({"a": 200.0, "b": 500 / 3, None: 250 / 3})
-    assert mixing.targets([]) == {} and mixing.targets([("a", 0)]) == {"a": 0.0}
+def targets_of(spark, sizes, **kw):
+    """Targets by name, and by plain water-filling one source at a time."""
+    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
+    table = spark.createDataFrame([(n, s, (5, 2, 1)[i % 3]) for i, (s, n) in enumerate(order)], "n long, source string, weight int")
+    got = {r["source"]: r["target"] for r in mixing.targets(table, **kw).collect()}
+    share, most = kw.get("share", 1.5), kw.get("most", 2.0)
+    weight = {s: (5, 2, 1)[i % 3] for i, (s, _) in enumerate(order)}
+    rest, want = share * sum(n for _, n in order), {}
+    todo = sorted(order, key=lambda x: most * x[1] / weight[x[0]])
+    while todo:
+        s, n = todo.pop(0)
+        want[s] = min(most * n, rest * weight[s] / sum(weight[x] for x, _ in [(s, n), *todo]))
+        rest -= want[s]
+    assert got == pytest.approx(want)
+    return got
 
 
-def test_mixing_keeps_low_discrepancy(spark):
-    rows = mixing.schedule(spark, [(0, 50), (1, 30), (2, 20)]).orderBy("slot").collect()
-    assert Counter(r["src"] for r in rows) == {0: 50, 1: 30, 2: 20}
-    assert all(sorted(r["rank"] for r in rows if r["src"] == s) == list(range(n)) for s, n in ((0, 50), (1, 30), (2, 20)))
-    for k in range(10, 90, 10):
-        assert abs(sum(r["src"] == 0 for r in rows[:k]) - k / 2) <= 3
+def test_mixing_targets(spark):
+    assert targets_of(spark, [("a", 100), ("b", 100), (None, 100)]) == pytest.approx({"a": 200.0, "b": 500 / 3, None: 250 / 3})
+    assert targets_of(spark, []) == {} and targets_of(spark, [("a", 0)]) == {"a": 0.0}
+    assert targets_of(spark, [("a", 10), ("b", 30)], share=3.0) == {"a": 20.0, "b": 60.0}  # all at their bound
+    targets_of(spark, [(f"s{i:02d}", (i * 37) % 11 * 10 ** (i % 5)) for i in range(40)])
+
+
+def radical_inverse(i, bits):
+    return int(format(i, f"0{bits}b")[::-1], 2) if bits else 0
 
 
-@pytest.mark.parametrize("quota", [[8043, 1, 16956], [7813, 2, 17185], [4332, 40, 20628], [0, 3, 0, 1]])
-def test_mixing_gives_small_sources_their_quota(spark, quota):
-    rows = mixing.schedule(spark, list(enumerate(quota))).collect()
-    assert len({r["slot"] for r in rows}) == len(rows) == sum(quota)
+def ranks(spark, quota):
+    """The schedule by plain counting: slots in order, each given to the source whose interval holds its point."""
+    slots, bits = mixing.schedule(spark.createDataFrame(list(enumerate(quota)), "src long, quota long"))
+    got = {(r["slot"], r["src"], r["rank"]) for r in slots.collect()}
+    edges, at = [], 0
     for s, n in enumerate(quota):
-        assert sorted(r["rank"] for r in rows if r["src"] == s) == list(range(n))
+        edges.append((at, at + n, s))
+        at += n
+    want, seen = set(), Counter()
+    owner = [s for low, high, s in edges for _ in range(low, high)]
+    for i in range(1 << bits):
+        point = radical_inverse(i, bits)
+        if point < len(owner):
+            want.add((i, owner[point], seen[owner[point]]))
+            seen[owner[point]] += 1
+    assert got == want and len(got) == sum(quota)
+    return sorted(got)
+
+
+def test_mixing_keeps_low_discrepancy(spark):
+    rows = ranks(spark, [500, 300, 200])
+    for k in range(50, 1000, 50):
+        for s, share in ((0, 0.5), (1, 0.3), (2, 0.2)):
+            assert abs(sum(r[1] == s for r in rows[:k]) - k * share) <= 6
+
+
+@pytest.mark.parametrize("quota", [[8043, 1, 16956], [0, 3, 0, 1], [1], [], [0, 0], [100_000, 3, 1, 29, 70_000, 1, 2, 140_000, 5, 8, 13, 1, 1, 1, 65_536]])
+def test_mixing_gives_every_source_its_quota(spark, quota):
+    rows = ranks(spark, quota)
+    assert Counter(s for _, s, _ in rows) == {s: n for s, n in enumerate(quota) if n}
 
 
 def test_mixing_takes_small_sources_whole(spark):
-    """A source of one word between two large ones gets one of 25,000 slots, which the golden-ratio sequence passes by."""
     sizes = {"a": 6090, "b": 1, "c": 38643}
     docs = [(i, "w " * n, "en", s, 2 * n) for i, (s, n) in enumerate(sizes.items())]
     per_doc, mixed = mixing.mix(frame(spark, docs), block=2)
-    want = mixing.targets(list(sizes.items()))
+    want = targets_of(spark, list(sizes.items()))
     assert {r["source"]: r["taken"] for r in per_doc.collect()} == {s: round(t) for s, t in want.items()}
     assert mixed.where("source = 'b'").select("slot").distinct().count() == 1
 
 
+def test_mixed_documents_keep_their_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", 7, "t"), (2, None, "x", 8, None), (None, "d e", None, 9, "u"), (None, "d e", None, 9, "u")], "doc_id long, text string, source string, size int, _weft_row string")
+    out = mixing.mixed_documents(docs, block=2)
+    assert out.columns == ["doc_id", "text", "source", "size", "_weft_row", "size_", "source_size", "target", "taken", "first_slot", "slots"]
+    rows = out.collect()
+    assert sorted((str(r["doc_id"]), r["size"], r["size_"]) for r in rows) == [("1", 7, 3), ("2", 8, 0), ("None", 9, 2), ("None", 9, 2)]
+    for r in rows:
+        assert sum(p["words"] for p in r["slots"]) == r["taken"] and r["first_slot"] == min((p["slot"] for p in r["slots"]), default=-1)
+    assert mixing.mixed_documents(frame(spark, [])).count() == 0
+
+
+def test_whole_numbers_in_order(spark):
+    rows = [(i * 7919 % 1000, i % 3) for i in range(1000)]
+    table = spark.createDataFrame(rows, "x long, k long").repartition(5)
+    assert sorted((r["x"], r["n"]) for r in common.numbered(table, [F.col("x")], "n").collect()) == [(i, i) for i in range(1000)]
+    for r in common.before(table, ["k"], "x", "x", "sum", width=64).collect():
+        assert r["sum"] == sum(x for x, k in rows if k == r["k"] and x < r["x"])
+
+
 def test_schema(spark):
     assert frame(spark, []).schema.simpleString() == "struct<" + DOCS.replace("long", "bigint").replace(" ", ":").replace(",:", ",") + ">"

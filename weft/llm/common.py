@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weft.functions.shared import fresh_path
 
@@ -30,6 +31,33 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, order: list[Column], into: str) -> DataFrame:
+    """df with ``into``: 0, 1, ... in the order of the columns ``order``, by a distributed sort and the row counts of its parts."""
+    rows = materialize(df.orderBy(*order).withColumn(into, F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright(F.col(into), 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row per part of the sort
+    starts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    return rows.join(starts, part == F.col("_part")).withColumn(into, F.col("_start") + F.col(into).bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_start")
+
+
+def before(df: DataFrame, keys: list[str], at: str, value: str, into: str, width: int = 4096) -> DataFrame:
+    """df(keys, at, value) with ``into``: the sum of value over smaller ``at`` of the same keys. ``at`` holds whole numbers from 0;
+    sums of ``width`` of them go first, so that a key of very many is no one task."""
+    rows = df.withColumn("_part", F.expr(f"`{at}` div {width}"))
+    sums = rows.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
+    sums = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_sum")).drop("_sum")
+    own = F.sum(value).over(Window.partitionBy(*keys, "_part").orderBy(at)) - F.col(value)
+    return rows.withColumn(into, own).join(sums, [*keys, "_part"]).withColumn(into, F.col(into) + F.col("_before")).drop("_part", "_before")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only; other letters stay."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
