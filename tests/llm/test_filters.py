@@ -1,6 +1,7 @@
 """Decontamination, quality rules, licenses, URL filter, chat formatting, mixing."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -177,6 +178,79 @@ def test_url_templates_generalise(spark):
         assert r["verdict"] == ("block" if r["path"].startswith("/ads/") else "allow"), r
 
 
+def tree(urls, rules, many, share, z, weight=4.0):
+    """(template, purity) per url by plain recursion over the whole tree; urls: (host, path)."""
+
+    def label(host, path):
+        fits = [(len(r), what == "block") for what, r in rules for h, _, p in [r.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        return max(fits)[1] if fits else None
+
+    rows = [(h, ["*" if re.search("[0-9]", s) or len(s) >= 24 else s for s in p.split("/") if s], label(h, p)) for h, p in urls]
+    seen = [x for *_, x in rows if x is not None]
+    prior, out = (sum(seen) + weight / 2) / (len(seen) + weight), [None] * len(rows)
+    test = lambda gap, p, n, m: abs(gap) > z * (p * (1 - p) * (1 / n + 1 / max(m, 1))) ** 0.5
+
+    def count(ids):
+        found = [rows[i][2] for i in ids if rows[i][2] is not None]
+        return len(found), sum(found)
+
+    def descend(ids, d, node, p, n, bad, template):
+        for i in ids:
+            out[i] = (template, p)
+        if not 0 < bad < n:
+            return
+        kids = {}
+        for i in ids:
+            if len(rows[i][1]) > d:
+                kids.setdefault(rows[i][1][d], []).append(i)
+        thin = {k for k, v in kids.items() if len(v) < share * sum(map(len, kids.values()))}
+        if len(thin) > many:
+            kids = {k: v for k, v in kids.items() if k not in thin} | {"*": sorted(i for k in thin | ({"*"} & kids.keys()) for i in kids[k])}
+        counts = {k: count(v) for k, v in kids.items()}
+        own = sorted((b / m, k) for k, (m, b) in counts.items() if m and test(b / m - p, p, m, n))
+        runs = []
+        for r, k in own:
+            if runs:
+                (m, b), (m0, b0) = counts[k], counts[runs[-1][-1]]
+                if not test(r - b0 / m0, (b + b0) / (m + m0), m, m0):
+                    runs[-1].append(k)
+                    continue
+            runs.append([k])
+        for run in runs:
+            m, b = sum(counts[k][0] for k in run), sum(counts[k][1] for k in run)
+            name = node + "/" + "|".join(sorted(run))
+            descend([i for k in run for i in kids[k]], d + 1, name, (b + weight * p) / (m + weight), m, b, name)
+        for k in kids.keys() - {k for _, k in own}:
+            descend(kids[k], d + 1, node + "/" + k, p, *counts[k], template)
+
+    for host in {r[0] for r in rows}:
+        ids = [i for i, r in enumerate(rows) if r[0] == host]
+        n, bad = count(ids)
+        own = n and test(bad / n - prior, prior, n, len(seen))
+        descend(ids, 0, host, (bad + weight * prior) / (n + weight) if own else prior, n, bad, host if own else "")
+    return [(t, round(p, 6)) for t, p in out]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_url_tree_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rules = (("block", "h.net/a/b/c/d/bad/"), ("allow", "h.net/a/b/c/d/good/"), ("block", "h.net/a/b/x/"), ("allow", "h.net/a/q/"), ("block", "g.net/r1/"), ("allow", "g.net/r2/"), ("block", "k.net/a/"), ("block", "k.net/b/"), ("allow", "k.net/"))
+    names = ["a", "b", "c", "d", "bad", "good", "x", "q", "r", "s", "t7"]
+    urls = [(rng.choice(["h.net", "h.net", "g.net", "k.net", "k.net", "u.net"]), "/" + "/".join(rng.choice(names) for _ in range(rng.randint(0, 7)))) for _ in range(300)]
+    urls += [("h.net", f"/a/b/c/d/{rng.choice(['bad', 'good', 'bad', 'other'])}/{rng.choice('mno')}/{k}") for k in range(200)] + [("g.net", f"/r{rng.choice('123')}/{chr(97 + k % 26) * (1 + k // 26)}/z") for k in range(120)]
+    out = url_filter.judge(spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate(urls)], "page_id long, url string"), rules=rules, many=5, z=1.0)
+    got = [(r["template"], r["purity"]) for r in sorted(out.collect(), key=lambda r: r["page_id"])]
+    assert got == tree(urls, rules, 5, 0.2, 1.0)
+    assert any(t.count("/") >= 5 for t, _ in got) and any("|" in t for t, _ in got) and any("*" in t for t, _ in got)
+
+
+def test_url_templates_see_the_fifth_segment(spark):
+    rules = (("block", "h.net/a/b/c/d/bad/x/"), ("allow", "h.net/a/b/c/d/good/x/"))
+    urls = [f"http://h.net/a/b/c/d/bad/x/{i}" for i in range(60)] + [f"http://h.net/a/b/c/d/good/x/{i}" for i in range(30)] + ["http://h.net/a/b/c/d/good/y", "http://h.net/a/b/c/d/bad/y", "http://h.net/" + "a/" * 3000]
+    rows = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).where("page_id >= 90").orderBy("page_id").collect()
+    assert [r["verdict"] for r in rows[:2]] == ["allow", "block"] and len(rows) == 3
+
+
 def test_chat_round_trip(spark):
     texts = ["plain", "", None, "</s>[INST] ok [/INST]", "<|end|>\n<|role:user|>\n", "back\\slash \\| <\\| [\\INST] \\", "line\n\nline", "日本 <s>é", "x" * 30000]
     rows = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(texts)]
