@@ -108,7 +108,8 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = 102
     pieces = laid.withColumn("rank", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))))
     slots, _ = schedule(sources.select("src", "quota"))
     first = F.greatest(F.col("a"), F.col("rank") * block)
-    mixed = pieces.join(slots, ["src", "rank"]).select("slot", "src", "_row", "doc_id", (first - F.col("a")).alias("first"), (F.least(F.col("b"), (F.col("rank") + 1) * block) - first).alias("words"))
+    # Slots come out of few rows by explode and would look small enough to broadcast.
+    mixed = pieces.join(slots.hint("merge"), ["src", "rank"]).select("slot", "src", "_row", "doc_id", (first - F.col("a")).alias("first"), (F.least(F.col("b"), (F.col("rank") + 1) * block) - first).alias("words"))
     mixed = materialize(mixed, "mix-slots")
     taken = mixed.groupBy("_row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     extra = [F.col("_row").alias(row)] if row else []
