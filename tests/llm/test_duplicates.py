@@ -7,7 +7,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import corpus, frame, lower, words
 from weft.llm import bundles, language_model, near_dup, suffix_dedup, suffix_sort, toxicity
@@ -188,17 +190,79 @@ def test_language_model(spark):
     weights = language_model.learn(language_model.em_table(counted, n), v)
     assert np.allclose(weights.sum(axis=1), 1) and (weights[:, 1:] > 0).all()
     out = language_model.score(counted, n, v, weights).collect()
-    want = []
+    want, cells = [], Counter()
     for i, w in tokens:
         base = sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w)
+        own = 0 if held(i) else 1
+        own_uni, own_bi, own_context = Counter(w), Counter(zip([0, *w[:-1]], w, strict=True)), Counter([0, *w[:-1]])
         score = 0.0
         for p, x in zip([0, *w[:-1]], w, strict=True):
-            c = context[p] if p != 0 else len(train)
+            c = context[p] - own * own_context[p]
             b = weights[int(math.floor(math.log2(c + 1)))]
-            score += math.log10(b[0] * (bi[p, x] / c if c else 0) + b[1] * uni[x] / n + b[2] / (v + 1))
+            p2 = (bi[p, x] - own * own_bi[p, x]) / c if c else 0
+            p1 = (uni[x] - own * own_uni[x]) / (n - own * len(w))
+            score += math.log10(b[0] * p2 + b[1] * p1 + b[2] / (v + 1))
+            if own:
+                cells[int(math.floor(math.log2(c + 1)))] += 1
         want.append((str(i), held(i), len(w), sum(uni[x] > 0 for x in w), n, round(base, 6), round(score, 6)))
     got = [(str(r[0]), r[1], r[2], r[3], r[4], round(r[5], 6), round(r[6], 6)) for r in out]
     assert sorted(got) == sorted(want)
+    table = language_model.em_table(counted, n)
+    assert {int(b): int(table[table[:, 0] == b][:, 3].sum()) for b in np.unique(table[:, 0])} == cells
+
+
+def test_language_model_tells_texts_that_stand_twice(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice("abcdefghijklmnopqrst") + rng.choice("uvwxyz") * rng.randint(1, 9) for _ in range(60))
+    rows = [(i, text(), "en", "s", 1) for i in range(150)]
+    rows += [(200 + i, rows[i][1], "en", "s", 1) for i in range(20) if not language_model.is_held_out(i, 7, 2) and not language_model.is_held_out(200 + i, 7, 2)]
+    out = {r["doc_id"]: r["score"] / r["n_tokens"] for r in language_model.score_documents(frame(spark, rows)).collect() if not r["held_out"]}
+    twice = [i % 200 for i in out if i >= 200]
+    assert min(out[i] for i in twice) > max(s for i, s in out.items() if i < 200 and i not in twice)
+
+
+@pytest.mark.parametrize("n, fan", [(300, 1000), (300, 40), (300, 4)])
+def test_total_counts_over_crowds(spark, n, fan):
+    """One key stands in every bundle, others in some; no task may see the common one more than about fan times."""
+    packed = spark.range(n).select(F.col("id").alias("bundle")).repartition(3)
+
+    def keys_of(row):
+        b = row["bundle"]
+        keys = np.unique(bundles.mix(np.array([7, 8 + b % 5, 100 + b // 3, 1000 + b], dtype=np.uint64)))
+        return keys, np.full(len(keys), 1 + b % 2)
+
+    answers = bundles.total_counts(packed, keys_of, 3, fan=fan)
+    want = Counter()
+    for b in range(n):
+        for k in keys_of({"bundle": b})[0].tolist():
+            want[k] += 1 + b % 2
+    totals = answers.agg(F.sum("n_types"), F.sum("n_tokens")).first()
+    odd = {k: c for k, c in want.items() if k & 1}
+    assert tuple(totals) == (len(odd), sum(odd.values()))
+
+    def each(row, found):
+        keys, _ = keys_of(row)
+        return pa.table({"key": pa.array(keys.view(np.int64)), "n": pa.array(found.astype(np.int64))})
+
+    got = {(r["key"] & (2**64 - 1), r["n"]) for r in bundles.with_totals(packed, answers, each, "key long, n long").collect()}
+    assert got == set(want.items())
+
+
+def test_a_key_of_100000_bundles_stays_small(spark, monkeypatch):
+    """Crowds: the arrays that any one range adds up."""
+    seen = []
+    old = bundles._add_up
+
+    def spy(requests, owners, bits, fan, ignore):
+        by = F.pmod(F.xxhash64("bundle"), F.lit(-(-owners // fan)))
+        seen.append((owners, requests.groupBy(by.alias("crowd"), "part").count().agg(F.max("count")).first()[0]))
+        return old(requests, owners, bits, fan, ignore)
+
+    monkeypatch.setattr(bundles, "_add_up", spy)
+    packed = spark.range(100_000).select(F.col("id").alias("bundle"))
+    answers = bundles.total_counts(packed, lambda row: (np.array([5], np.uint64), np.array([2])), 3, fan=500)
+    assert answers.agg(F.sum("n_tokens"), F.count("*")).first()[:] == (200_000, 100_000)
+    assert [n for n, _ in seen] == [100_000, 200] and all(m <= 1.25 * 500 for _, m in seen)
 
 
 def test_language_model_learns_and_survives_empty_tables(spark):

@@ -4,8 +4,10 @@ A bundle holds some megabytes of texts, so that per-document work in Python is v
 written to the shared folder once; whatever refers to them later is stable, also after executors are lost.
 
 ``total_counts`` answers, for every bundle, how often each of its keys occurs in all bundles. Keys go out as one packed
-array for each bundle and key range, each key once per bundle with its own count, so that a key which a third of all
-documents hold is no hot key: a range's task reads each key at most once per bundle, and ranges are sized by the total.
+array for each bundle and key range, each key once per bundle with its own count. A range adds up at most about ``fan`` such
+arrays. Where there are more bundles, crowds of ``fan`` of them are added up first, each crowd's sums go on as one array for each
+finer range, as if it were a bundle, and the totals come back the same way. So a key that stands in every bundle is in no task more
+than about ``fan`` times, and arrays stay long, whatever the number of bundles.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from weft.llm.common import materialize
 
 BUNDLE = "bundle long, raw_bytes long, n_docs int, ids array<long>, lengths array<int>, payload binary"
-REQUEST = "bundle long, part int, keys binary, own binary"
-ANSWER = "bundle long, part int, totals binary, n_types long, n_tokens long"
+REQUEST = "bundle long, part long, keys binary, own binary"
+ANSWER = "bundle long, part long, totals binary, n_types long, n_tokens long"
 
 
 def squeeze(data: bytes) -> bytes:
@@ -99,45 +101,83 @@ def rows_of(batch) -> Iterator[dict]:
         yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
 
 
-def part_bits(bundles: DataFrame, keys_per_byte: float, keys_per_part: int = 2_000_000) -> int:
-    total = bundles.agg(F.coalesce(F.sum("raw_bytes"), F.lit(0))).first()[0] * keys_per_byte
-    return max(3, int(np.ceil(np.log2(max(1.0, total / keys_per_part)))))
+def part_bits(bundles: DataFrame, keys_per_byte: float, keys_per_part: int = 2_000_000, fan: int = 8192) -> int:
+    """Bits of a key that name its range: as many as let a range of ``fan`` bundles (all, if fewer) hold keys_per_part keys."""
+    raw, n = bundles.agg(F.coalesce(F.sum("raw_bytes"), F.lit(0)), F.count("*")).first()
+    return max(3, int(np.ceil(np.log2(max(1.0, raw * keys_per_byte / keys_per_part * min(1.0, fan / max(n, 1)))))))
 
 
-def total_counts(bundles: DataFrame, keys_of: Callable[[dict], tuple[np.ndarray, np.ndarray]], bits: int, ignore: int | None = None) -> DataFrame:
+def _cut(owner: int, keys: np.ndarray, own: np.ndarray, bits: int) -> pa.RecordBatch:
+    """REQUEST rows of one owner's sorted keys, by their first ``bits`` bits."""
+    parts, starts = np.unique((keys >> np.uint64(64 - bits)).astype(np.int64), return_index=True)
+    ends = [*starts[1:].tolist(), len(keys)]
+    cut = list(zip(parts.tolist(), starts.tolist(), ends, strict=True))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([owner] * len(cut), pa.int64()), pa.array([p for p, _, _ in cut], pa.int64()), pa.array([pack_sorted(keys[a:b]) for _, a, b in cut], pa.binary()), pa.array([pack_numbers(own[a:b]) for _, a, b in cut], pa.binary())],
+        names=["bundle", "part", "keys", "own"],
+    )
+
+
+def _sum(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(keys of each row, all distinct keys, their sums, places of the rows' keys in them) of REQUEST rows."""
+    keys = [unpack_sorted(k) for k in table.column("keys").to_pylist()]
+    own = np.concatenate([unpack_numbers(k, np.uint64) for k in table.column("own").to_pylist()])
+    every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    totals = np.zeros(len(every), np.uint64)
+    np.add.at(totals, inverse, own)
+    return keys, every, totals, inverse
+
+
+def _add_up(requests: DataFrame, owners: int, bits: int, fan: int, ignore: int | None) -> DataFrame:
+    """ANSWER rows for REQUEST rows of so many owners, whose parts are the first ``bits`` bits of the keys."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        keys, every, totals, inverse = _sum(table)
+        marked = ((every & np.uint64(1)) == 1) & (totals > 0)
+        if ignore is not None:
+            marked &= every != np.uint64(ignore)
+        at, first = np.cumsum([0, *map(len, keys)]), [1] + [0] * (len(keys) - 1)
+        packed = [pack_numbers(totals[inverse[a:b]]) for a, b in zip(at, at[1:], strict=False)]
+        return pa.table({"bundle": table.column("bundle"), "part": table.column("part"), "totals": pa.array(packed, pa.binary()), "n_types": pa.array([int(marked.sum()) * f for f in first], pa.int64()), "n_tokens": pa.array([int(totals[marked].sum()) * f for f in first], pa.int64())})
+
+    if owners <= fan:
+        return requests.groupBy("part").applyInArrow(answer, ANSWER)
+    crowds = -(-owners // fan)
+    finer = bits + min(crowds, fan).bit_length()  # a finer range of all crowds holds no more than a range of one crowd
+    dealt = materialize(requests.withColumn("crowd", F.pmod(F.xxhash64("bundle"), F.lit(crowds))), "requests")
+
+    def merge(table: pa.Table) -> pa.Table:
+        _, every, totals, _ = _sum(table)
+        return pa.Table.from_batches([_cut(table.column("crowd")[0].as_py(), every, totals, finer)])
+
+    above = _add_up(dealt.groupBy("crowd", "part").applyInArrow(merge, REQUEST), crowds, finer, fan, ignore)
+    above = above.select(F.col("bundle").alias("crowd"), F.shiftright("part", finer - bits).alias("part"), F.col("part").alias("finer"), "totals", "n_types", "n_tokens")
+
+    def spread(asked: pa.Table, known: pa.Table) -> pa.Table:
+        keys, _, _, inverse = _sum(asked)
+        order = np.argsort(known.column("finer").to_numpy())
+        blobs = known.column("totals").to_pylist()
+        totals = np.concatenate([unpack_numbers(blobs[i], np.uint64) for i in order])
+        at, rest = np.cumsum([0, *map(len, keys)]), [0] * (len(keys) - 1)
+        packed = [pack_numbers(totals[inverse[a:b]]) for a, b in zip(at, at[1:], strict=False)]
+        whole = {c: pa.array([sum(known.column(c).to_pylist()), *rest], pa.int64()) for c in ("n_types", "n_tokens")}
+        return pa.table({"bundle": asked.column("bundle"), "part": asked.column("part"), "totals": pa.array(packed, pa.binary()), **whole})
+
+    return dealt.groupBy("crowd", "part").cogroup(above.groupBy("crowd", "part")).applyInArrow(spread, ANSWER)
+
+
+def total_counts(bundles: DataFrame, keys_of: Callable[[dict], tuple[np.ndarray, np.ndarray]], bits: int, ignore: int | None = None, fan: int = 8192) -> DataFrame:
     """ANSWER rows: for each bundle and part, the total count of each of its sorted keys. keys_of(bundle row) gives sorted
-    distinct keys and their counts in the bundle. On one row of each part, n_types and n_tokens count the keys (and
+    distinct keys and their counts in the bundle. The sums of n_types and n_tokens over all rows count the distinct keys (and
     occurrences) whose lowest bit is 1, but for the key ``ignore``."""
-    shift = np.uint64(64 - bits)
 
     def ask(batches):
         for batch in batches:
             for row in rows_of(batch):
                 keys, own = keys_of(row)
-                part = (keys >> shift).astype(np.int32)
-                parts, starts = np.unique(part, return_index=True)
-                ends = [*starts[1:].tolist(), len(keys)]
-                cut = [(int(p), a, b) for p, a, b in zip(parts, starts.tolist(), ends, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["bundle"]] * len(cut), pa.int64()), pa.array([p for p, _, _ in cut], pa.int32()), pa.array([pack_sorted(keys[a:b]) for _, a, b in cut], pa.binary()), pa.array([pack_numbers(own[a:b].astype(np.uint32)) for _, a, b in cut], pa.binary())],
-                    names=["bundle", "part", "keys", "own"],
-                )
-
-    def answer(table: pa.Table) -> pa.Table:
-        names = table.column("bundle").to_pylist()
-        keys = [unpack_sorted(k) for k in table.column("keys").to_pylist()]
-        own = [unpack_numbers(k, np.uint32) for k in table.column("own").to_pylist()]
-        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(inverse, weights=np.concatenate(own), minlength=len(every))
-        marked = ((every & np.uint64(1)) == 1) & (totals > 0)
-        if ignore is not None:
-            marked &= every != np.uint64(ignore)
-        at = np.cumsum([0, *map(len, keys)])
-        packed = [pack_numbers(totals[inverse[a:b]].astype(np.uint64)) for a, b in zip(at, at[1:], strict=False)]
-        first = [1] + [0] * (len(names) - 1)
-        return pa.table({"bundle": pa.array(names, pa.int64()), "part": table.column("part").cast(pa.int32()), "totals": pa.array(packed, pa.binary()), "n_types": pa.array([int(marked.sum()) * f for f in first], pa.int64()), "n_tokens": pa.array([int(totals[marked].sum()) * f for f in first], pa.int64())})
+                yield _cut(row["bundle"], keys, own.astype(np.uint64), bits)
 
-    return materialize(bundles.mapInArrow(ask, REQUEST).groupBy("part").applyInArrow(answer, ANSWER), "totals")
+    return materialize(_add_up(bundles.mapInArrow(ask, REQUEST), bundles.count(), bits, fan, ignore), "totals")
 
 
 def with_totals(bundles: DataFrame, answers: DataFrame, each: Callable[[dict, np.ndarray], pa.Table], schema: str) -> DataFrame:

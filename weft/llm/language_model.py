@@ -5,8 +5,10 @@ Counts come from the training documents: those whose crc32 of the doc_id's decim
 start with a begin mark that is only a context.
 p(w | v) = l2[b] * c(v w) / c(v) + l1[b] * c(w) / N + l0[b] / (V + 1), with b the bucket floor(log2(c(v) + 1)) of the context's
 frequency. The weights of each bucket are learned by expectation-maximisation on held-out counts by deletion: for
-every training token the estimates are those of the corpus without that token. For EM only, the pair of estimates is
-rounded to eighths of an octave, so that its table has a fixed bound; scores use exact counts.
+every training token the estimates are those of the training corpus without the token's document. For EM only, the pair of estimates is
+rounded to eighths of an octave, so that its table has a fixed bound; scores use exact counts. A training document's score, too, is
+that of the corpus without it (V stays), so that training and held-out documents compare, and a text that stands elsewhere as
+well is told from one that does not. The base score has all counts.
 
 Counts are gathered over all documents and grow with them; they meet the documents by bundle (see bundles.py) and never at
 the driver, which sees the EM table and a few totals only.
@@ -31,7 +33,8 @@ from weft.llm.common import materialize, read_table
 
 END, BEGIN = 0x8E51D94F6A0B7C23, 0x3B97F1C25D8E4A61
 _ODD, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-COUNTED = "doc_id long, held_out boolean, n_tokens long, uni binary, bi binary, begins long"
+#: uni and bi: training counts of each token's unigram and bigram; own: those of the document itself, one after the other.
+COUNTED = "doc_id long, held_out boolean, n_tokens long, uni binary, bi binary, own binary, begins long"
 
 
 def is_held_out(doc_id: int | None, folds: int, held_fold: int) -> bool:
@@ -91,21 +94,30 @@ def count(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> tuple[DataFram
         every, _, sizes, train = _keys(row, folds, held_fold)
         _, inverse = np.unique(every, return_inverse=True)
         of = totals[inverse]
-        n = int(sizes.sum())
+        n, docs_ = int(sizes.sum()), np.repeat(np.arange(len(sizes)), sizes)
+        _, place, times = np.unique(np.concatenate([docs_, docs_]) * len(totals) + inverse[: 2 * n], return_inverse=True, return_counts=True)
+        own = (times[place] * np.repeat(np.tile(train, 2), np.tile(sizes, 2))).astype(np.uint32)
         ends = np.cumsum(sizes)
         cut = [slice(b - s, b) for s, b in zip(sizes.tolist(), ends.tolist(), strict=True)]
         begins = int(of[-1])
         return pa.table({
             "doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(~train), "n_tokens": pa.array(sizes, pa.int64()),
             "uni": pa.array([B.pack_numbers(of[c]) for c in cut], pa.binary()), "bi": pa.array([B.pack_numbers(of[n:][c]) for c in cut], pa.binary()),
-            "begins": pa.array([begins] * len(sizes), pa.int64()),
+            "own": pa.array([B.pack_numbers(np.concatenate([own[c], own[n:][c]])) for c in cut], pa.binary()), "begins": pa.array([begins] * len(sizes), pa.int64()),
         })
 
     return materialize(B.with_totals(packed, answers, each, COUNTED), "lm-counts"), int(total[0]), int(total[1])
 
 
-def _contexts(uni: np.ndarray, begins: int) -> np.ndarray:
-    return np.concatenate([[begins], uni[:-1]])
+def _counts(batch: pa.RecordBatch, n: int):
+    """For each COUNTED row: (all training counts of its unigrams; without its own: bigrams, contexts, unigrams, tokens)."""
+    at = {name: i for i, name in enumerate(batch.schema.names)}
+    for u, b, o, begins, held in zip(*[batch.column(at[c]).to_pylist() for c in ("uni", "bi", "own", "begins", "held_out")], strict=True):
+        uni, bi = B.unpack_numbers(u, np.uint64).astype(np.float64), B.unpack_numbers(b, np.uint64).astype(np.float64)
+        own = B.unpack_numbers(o, np.uint32).astype(np.float64)
+        rest = uni - own[: len(uni)]
+        context = np.concatenate([[begins - (not held)], rest[:-1]])
+        yield uni, bi - own[len(uni) :], context, rest, n if held else n - len(uni)
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -113,20 +125,16 @@ def _bucket(context: np.ndarray) -> np.ndarray:
 
 
 def em_table(counted: DataFrame, n: int) -> np.ndarray:
-    """Rows (bucket, eighths of log2 of the bigram estimate, of the unigram estimate, tokens); estimates without the token itself."""
+    """Rows (bucket, eighths of log2 of the bigram estimate, of the unigram estimate, tokens); estimates without the token's document."""
 
     def run(batches):
         sums: dict[tuple[int, int, int], int] = defaultdict(int)
         for batch in batches:
-            at = {name: i for i, name in enumerate(batch.schema.names)}
-            rows = zip(*[batch.column(at[c]).to_pylist() for c in ("uni", "bi", "begins")], strict=True)
             parts = []
-            for u, b, begins in rows:
-                uni, bi = B.unpack_numbers(u, np.uint64).astype(np.float64), B.unpack_numbers(b, np.uint64).astype(np.float64)
-                context = _contexts(uni, begins) - 1
+            for _, bi, context, rest, left in _counts(batch, n):
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    x2 = np.where((context > 0) & (bi > 1), np.rint(8 * np.log2((bi - 1) / context)), -9999)
-                    x1 = np.where((uni > 1) & (n > 1), np.rint(8 * np.log2((uni - 1) / (n - 1))), -9999)
+                    x2 = np.where((context > 0) & (bi > 0), np.rint(8 * np.log2(bi / context)), -9999)
+                    x1 = np.where(rest > 0, np.rint(8 * np.log2(rest / max(left, 1))), -9999)
                 parts.append(np.stack([_bucket(context), x2.astype(np.int64), x1.astype(np.int64)]))
             if parts:
                 cells, counts = _cells(np.concatenate(parts, axis=1))
@@ -135,7 +143,7 @@ def em_table(counted: DataFrame, n: int) -> np.ndarray:
         keys = list(sums)
         yield pa.RecordBatch.from_pydict({"b": pa.array([k[0] for k in keys], pa.int64()), "x2": pa.array([k[1] for k in keys], pa.int64()), "x1": pa.array([k[2] for k in keys], pa.int64()), "n": pa.array(list(sums.values()), pa.int64())})
 
-    cells = counted.where("not held_out").select("uni", "bi", "begins").mapInArrow(run, "b long, x2 long, x1 long, n long")
+    cells = counted.where("not held_out").select("uni", "bi", "own", "begins", "held_out").mapInArrow(run, "b long, x2 long, x1 long, n long")
     rows = cells.groupBy("b", "x2", "x1").agg(F.sum("n").alias("n")).collect()  # at most 40 buckets x 400 x 400 cells
     return np.array([tuple(r) for r in rows], dtype=np.int64).reshape(-1, 4)
 
@@ -173,11 +181,9 @@ def score(counted: DataFrame, n: int, v: int, weights: np.ndarray) -> DataFrame:
         for batch in batches:
             at = {name: i for i, name in enumerate(batch.schema.names)}
             out = {"n_known": [], "base_score": [], "score": []}
-            for u, b, begins in zip(*[batch.column(at[c]).to_pylist() for c in ("uni", "bi", "begins")], strict=True):
-                uni, bi = B.unpack_numbers(u, np.uint64).astype(np.float64), B.unpack_numbers(b, np.uint64).astype(np.float64)
-                context = _contexts(uni, begins)
+            for uni, bi, context, rest, left in _counts(batch, n):
                 w = weights[_bucket(context)]
-                p = w[:, 0] * np.where(context > 0, bi / np.maximum(context, 1), 0) + w[:, 1] * (uni / max(n, 1)) + w[:, 2] / (v + 1)
+                p = w[:, 0] * np.where(context > 0, bi / np.maximum(context, 1), 0) + w[:, 1] * (rest / max(left, 1)) + w[:, 2] / (v + 1)
                 out["n_known"].append(int((uni > 0).sum()))
                 out["base_score"].append(float(np.log10((uni + 1) / (n + v + 1)).sum()))
                 out["score"].append(float(np.log10(p).sum()))
