@@ -128,6 +128,12 @@ def _sum(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.
     return keys, every, totals, inverse
 
 
+def deal(df: DataFrame, groups: int, per_task: int, *keys: str) -> DataFrame:
+    """df dealt by keys over as many tasks as so many groups need, where the session's number of tasks is too small for them."""
+    tasks = -(-groups // per_task)
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def _add_up(requests: DataFrame, owners: int, bits: int, fan: int, ignore: int | None) -> DataFrame:
     """ANSWER rows for REQUEST rows of so many owners, whose parts are the first ``bits`` bits of the keys."""
 
@@ -141,7 +147,7 @@ def _add_up(requests: DataFrame, owners: int, bits: int, fan: int, ignore: int |
         return pa.table({"bundle": table.column("bundle"), "part": table.column("part"), "totals": pa.array(packed, pa.binary()), "n_types": pa.array([int(marked.sum()) * f for f in first], pa.int64()), "n_tokens": pa.array([int(totals[marked].sum()) * f for f in first], pa.int64())})
 
     if owners <= fan:
-        return requests.groupBy("part").applyInArrow(answer, ANSWER)
+        return deal(requests, 1 << bits, 8, "part").groupBy("part").applyInArrow(answer, ANSWER)
     crowds = -(-owners // fan)
     finer = bits + min(crowds, fan).bit_length()  # a finer range of all crowds holds no more than a range of one crowd
     dealt = materialize(requests.withColumn("crowd", F.pmod(F.xxhash64("bundle"), F.lit(crowds))), "requests")
@@ -150,6 +156,7 @@ def _add_up(requests: DataFrame, owners: int, bits: int, fan: int, ignore: int |
         _, every, totals, _ = _sum(table)
         return pa.Table.from_batches([_cut(table.column("crowd")[0].as_py(), every, totals, finer)])
 
+    dealt = deal(dealt, crowds << bits, 8, "crowd", "part")
     above = _add_up(dealt.groupBy("crowd", "part").applyInArrow(merge, REQUEST), crowds, finer, fan, ignore)
     above = above.select(F.col("bundle").alias("crowd"), F.shiftright("part", finer - bits).alias("part"), F.col("part").alias("finer"), "totals", "n_types", "n_tokens")
 
@@ -189,4 +196,5 @@ def with_totals(bundles: DataFrame, answers: DataFrame, each: Callable[[dict, np
         totals = np.concatenate([np.zeros(0, np.uint64), *[unpack_numbers(blobs[i], np.uint64) for i in order]])
         return each(next(rows_of(left.combine_chunks())), totals)
 
-    return bundles.groupBy("bundle").cogroup(answers.select("bundle", "part", "totals").groupBy("bundle")).applyInArrow(meet, schema)
+    n = bundles.count()
+    return deal(bundles, n, 32, "bundle").groupBy("bundle").cogroup(deal(answers.select("bundle", "part", "totals"), n, 32, "bundle").groupBy("bundle")).applyInArrow(meet, schema)

@@ -6,9 +6,12 @@
 2. A stretch that occurs twice is removed whole. One that is unique, but whose anchor also has other stretches, goes to the
    block of its anchor with those.
 3. Each block gets a suffix array by linear grouping (suffix_sort.py); equal windows are neighbours in it.
-4. A block of over ``block`` stretches (a passage with as many different surroundings) is not gathered: its windows are
-   counted as packed keys over all tasks (bundles.total_counts), which decides the same question exactly.
-Counts of anchors and stretches are exchanged as packed keys too; hashes have 64 bits.
+4. A block of over ``block`` stretches (a passage with as many different surroundings) is first split: its windows by where
+   their anchor lies, in ``ways`` ranges, and each range by the bytes that all its windows must have in common around the anchor. Equal
+   windows stay together, pieces that became equal are one, and what is still too large is split again; a range of one place has
+   equal windows only. The blocks that come out are suffix-sorted like the others.
+Counts of anchors and stretches are exchanged as packed keys; two stretches are equal if two independent hashes of 63 bits say so, and
+windows are compared as bytes.
 
 Defined cases: a null text is empty (and stays null in remove); texts under ``length`` bytes lose nothing by themselves;
 repeated rows are documents of their own, so each loses what it shares; an empty table gives no rows; ids and other
@@ -23,17 +26,18 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import bundles as B
-from weft.llm.common import materialize, read_table
+from weft.llm.common import free_name, materialize, read_table
 from weft.llm.suffix_sort import repeated
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 STRETCH = "anchor long, id long, left int, data binary, owner long"
+#: A piece of a block: its windows have the anchor at offsets low to high - 1; shift: its first window in the stretch ``id`` of ``owner``.
+PIECE = "sub long, low int, high int, content long, left int, data binary, owner long, id long, shift int"
 #: A bundle's open stretches, and one row without anchor: its spans that are removed whole, ids and first windows of the others.
 OPEN = STRETCH + ", whole binary, ids binary, firsts binary"
 ANSWER = "owner long, id long, runs array<int>"
@@ -82,14 +86,16 @@ def stretches(data: bytes, ends: np.ndarray, length: int, gram: int):
 
 
 def _read(row: dict, length: int, gram: int):
-    """(data, text ends, stretches, anchor keys with lowest bit 1, stretch keys with lowest bit 0) of a bundle."""
+    """(data, text ends, stretches, anchor keys with lowest bit 1, two keys of each stretch with lowest bit 0) of a bundle."""
     data = B.unsqueeze(row["payload"])
     ends = np.cumsum(np.maximum(np.array(row["lengths"], dtype=np.int64), 0))
     found = stretches(data, ends, length, gram)
     view = memoryview(data)
-    digest = xxhash.xxh3_64_intdigest
-    whole = np.fromiter((digest(view[a : b + length], p - a) for a, b, p in zip(*found[:3].tolist(), strict=True)), np.uint64, found.shape[1])
-    return data, ends, found, found[3].view(np.uint64) | np.uint64(1), whole & ~np.uint64(1)
+    digest = xxhash.xxh3_128_intdigest
+    both = [digest(view[a : b + length], p - a) for a, b, p in zip(*found[:3].tolist(), strict=True)]
+    whole = np.fromiter((x & 0xFFFFFFFFFFFFFFFE for x in both), np.uint64, len(both))
+    other = np.fromiter((x >> 64 & 0xFFFFFFFFFFFFFFFE for x in both), np.uint64, len(both))
+    return data, ends, found, found[3].view(np.uint64) | np.uint64(1), whole, other
 
 
 def _positions(keys: np.ndarray, totals: np.ndarray, *wanted: np.ndarray):
@@ -110,66 +116,73 @@ def _answers(rows: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([_runs(r[2]) for r in rows], pa.list_(pa.int32()))], names=["owner", "id", "runs"])
 
 
-def _sorted_blocks(blocks: DataFrame, length: int, gram: int) -> DataFrame:
-    """ANSWER rows of blocks(STRETCH) that are small enough to be gathered."""
+def _sorted_blocks(blocks: DataFrame, length: int) -> DataFrame:
+    """ANSWER rows of blocks(PIECE) that are small enough to be gathered."""
 
     def run(batches):
-        anchor, rows = None, []
+        now, rows = None, []
 
         def solved():
-            if len(rows) < 2 or not any(r[4] is not None for r in rows):
+            if len(rows) < 2 or not any(r["owner"] is not None for r in rows):
                 return []
-            hits = repeated([r[3] for r in rows], [len(r[3]) - length for r in rows], length, [r[2] for r in rows], gram)
-            return [(r[4], r[1], h) for r, h in zip(rows, hits, strict=True) if r[4] is not None]
+            low, high = rows[0]["low"], rows[0]["high"]
+            data = [r["data"] for r in rows]
+            hits = repeated(data, [len(d) - length for d in data], length, [r["left"] - low for r in rows], low + length - high + 1)
+            return [(r["owner"], r["id"], [r["shift"] + x for x in h]) for r, h in zip(rows, hits, strict=True) if r["owner"] is not None]
 
         for batch in batches:
             out = []
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if row[0] != anchor:
+            for row in batch.to_pylist():
+                if (row["sub"], row["low"]) != now:
                     out += solved()
-                    anchor, rows = row[0], []
+                    now, rows = (row["sub"], row["low"]), []
                 rows.append(row)
             yield _answers(out)
         yield _answers(solved())
 
-    return blocks.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(run, ANSWER)
+    return blocks.repartition("sub").sortWithinPartitions("sub", "low", "content").mapInArrow(run, ANSWER)
 
 
-def _counted_blocks(blocks: DataFrame, length: int, rows_per_pack: int = 4096) -> DataFrame:
-    """ANSWER rows of blocks(STRETCH) of any size: every window is a packed key. Stretches of a block are distinct, so a key that
-    occurs twice is a window of two of them."""
+def _split(blocks: DataFrame, length: int, ways: int) -> DataFrame:
+    """The pieces of blocks(PIECE) by narrower ranges of the anchor's offset and by the bytes that windows of such a range have in common."""
 
-    def pack(batches):
-        number = TaskContext.get().partitionId() << 32
+    def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, rows_per_pack):
-                cut = batch.slice(a, rows_per_pack)
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([c.to_pylist()], pa.list_(c.type)) for c in cut.columns]], names=["bundle", *cut.schema.names])
-                number += 1
-
-    packs = materialize(blocks.repartition("id").mapInArrow(pack, "bundle long, anchor array<long>, id array<long>, left array<int>, data array<binary>, owner array<long>"), "hot-blocks")
-    packs = packs.withColumn("raw_bytes", F.size("id").cast("long") * length)
-
-    def windows(row: dict):
-        keys = []
-        for anchor, left, data in zip(row["anchor"], row["left"], row["data"], strict=True):
-            view = memoryview(data)
-            keys.append(np.fromiter((xxhash.xxh3_64_intdigest(view[d : d + length], (anchor + left - d) & 0xFFFFFFFFFFFFFFFF) for d in range(len(data) - length + 1)), np.uint64))
-        return keys
-
-    def keys_of(row: dict):
-        keys, counts = np.unique(np.concatenate(windows(row)), return_counts=True)
-        return keys, counts
-
-    totals = B.total_counts(packs, keys_of, B.part_bits(packs, 0.5))
-
-    def each(row: dict, total: np.ndarray) -> pa.Table:
-        keys = windows(row)
-        every = np.unique(np.concatenate(keys))
-        out = [(o, i, np.flatnonzero(total[np.searchsorted(every, k)] > 1).tolist()) for o, i, k in zip(row["owner"], row["id"], keys, strict=True) if o is not None]
-        return pa.Table.from_batches([_answers(out)])
-
-    return B.with_totals(packs, totals, each, ANSWER)
+            out = []
+            for r in batch.to_pylist():
+                last = len(r["data"]) - length
+                edges = sorted({r["low"] + (r["high"] - r["low"]) * k // ways for k in range(ways + 1)})
+                for low, high in zip(edges, edges[1:], strict=False):
+                    a, b = max(0, r["left"] - high + 1), min(last, r["left"] - low)
+                    if a > b:
+                        continue
+                    data, left = r["data"][a : b + length], r["left"] - a
+                    core = data[left - low : left + length - high + 1]
+                    sub = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=f"{low} {high}".encode()).digest(), "little", signed=True)
+                    content = int.from_bytes(hashlib.blake2b(data, digest_size=8, salt=str(left).encode()).digest(), "little", signed=True)
+                    out.append({**r, "sub": sub, "low": low, "high": high, "content": content, "left": left, "data": data, "shift": r["shift"] + a})
+            yield pa.RecordBatch.from_pylist(out, schema=batch.schema) if out else batch.slice(0, 0)
+
+    return blocks.mapInArrow(run, PIECE)
+
+
+def _repeats(pieces: DataFrame, length: int, block: int, ways: int = 4) -> DataFrame:
+    """ANSWER rows of pieces(PIECE), distinct within each sub. Pieces without owner stand for those that are decided already."""
+    names, hits = pieces.columns, None
+    while True:
+        sizes = pieces.groupBy("sub").agg(F.count("*").alias("n"), F.count("owner").alias("open"))
+        sizes = materialize(sizes.where("n > 1 and open > 0").select("sub", "n"), "block-sizes")
+        found = _sorted_blocks(pieces.join(sizes.where(F.col("n") <= block).select("sub"), "sub").select(*names), length)
+        hits = found if hits is None else hits.union(found)
+        if sizes.where(F.col("n") > block).isEmpty():
+            return hits
+        new = materialize(_split(pieces.join(sizes.where(F.col("n") > block).select("sub"), "sub").select(*names), length, ways), "pieces")
+        first = [F.first(c).alias(c) for c in ("low", "high", "left", "data", "id", "shift")]
+        same = new.groupBy("sub", "content").agg(F.count("*").alias("n"), F.max("owner").alias("owner"), *first)
+        same = materialize(same.withColumn("owner", F.when(F.col("n") == 1, F.col("owner"))), "distinct-pieces")
+        equal = new.where("owner is not null").join(same.where("n > 1").select("sub", "content"), ["sub", "content"])
+        hits = hits.union(equal.select("owner", "id", F.array("shift", (F.col("shift") + F.length("data") - length).cast("int")).alias("runs")))
+        pieces = same.select(*names)
 
 
 def find(docs: DataFrame, length: int = 200, gram: int = 32, block: int = 256) -> tuple[DataFrame, DataFrame]:
@@ -178,15 +191,16 @@ def find(docs: DataFrame, length: int = 200, gram: int = 32, block: int = 256) -
     packed = B.bundle(docs)
 
     def keys_of(row: dict):
-        _, _, _, anchors, whole = _read(row, length, gram)
-        keys, counts = np.unique(np.concatenate([anchors, whole]), return_counts=True)
+        _, _, _, *keys = _read(row, length, gram)
+        keys, counts = np.unique(np.concatenate(keys), return_counts=True)
         return keys, counts
 
-    totals = B.total_counts(packed, keys_of, B.part_bits(packed, 0.022))
+    totals = B.total_counts(packed, keys_of, B.part_bits(packed, 0.033))
 
     def candidates(row: dict, total: np.ndarray) -> pa.Table:
-        data, _, found, anchors, whole = _read(row, length, gram)
-        of_anchor, of_whole = _positions(np.concatenate([anchors, whole]), total, anchors, whole)
+        data, _, found, anchors, whole, other = _read(row, length, gram)
+        of_anchor, of_whole, of_other = _positions(np.concatenate([anchors, whole, other]), total, anchors, whole, other)
+        of_whole = np.minimum(of_whole, of_other)
         open_ = np.flatnonzero(of_anchor > of_whole)
         _, once = np.unique(whole[open_], return_index=True)
         i = open_[once]
@@ -204,16 +218,9 @@ def find(docs: DataFrame, length: int = 200, gram: int = 32, block: int = 256) -
         })
 
     every = materialize(B.with_totals(packed, totals, candidates, OPEN), "open")
-    rows = every.where("anchor is not null")
-    rows = materialize(rows.groupBy("anchor", "id").agg(F.first("left").alias("left"), F.first("data").alias("data"), F.max("owner").alias("owner")), "stretches")
-    sizes = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.count("owner").alias("open"))
-    sizes = materialize(sizes.where("n > 1 and open > 0").select("anchor", "n"), "block-sizes")
-    small = rows.join(sizes.where(F.col("n") <= block).select("anchor"), "anchor").select("anchor", "id", "left", "data", "owner")
-    large = rows.join(sizes.where(F.col("n") > block).select("anchor"), "anchor").select("anchor", "id", "left", "data", "owner")
-    hits = _sorted_blocks(small, length, gram)
-    if not sizes.where(F.col("n") > block).isEmpty():
-        hits = hits.union(_counted_blocks(large, length))
-    hits = materialize(hits, "repeats").groupBy("owner").agg(F.collect_list(F.struct("id", "runs")).alias("hits"))
+    rows = every.where("anchor is not null").groupBy("anchor", "id").agg(F.first("left").alias("left"), F.first("data").alias("data"), F.max("owner").alias("owner"))
+    pieces = rows.select(F.col("anchor").alias("sub"), F.lit(0).alias("low"), F.lit(length - gram + 1).alias("high"), F.col("id").alias("content"), "left", "data", "owner", "id", F.lit(0).alias("shift"))
+    hits = materialize(_repeats(materialize(pieces, "stretches"), length, block), "repeats").groupBy("owner").agg(F.collect_list(F.struct("id", "runs")).alias("hits"))
 
     base = every.where("anchor is null").select(F.col("owner").alias("bundle"), "whole", "ids", "firsts")
     both = base.join(hits.withColumnRenamed("owner", "bundle"), "bundle", "left").select("bundle", "whole", "ids", "firsts", "hits")
@@ -285,16 +292,17 @@ def report(docs: DataFrame, **parameters) -> DataFrame:
 
 def remove(docs: DataFrame, **parameters) -> DataFrame:
     """docs with the repeated bytes cut from ``text``, other columns as they are."""
-    rows = materialize(docs.withColumn("_weft_row", F.monotonically_increasing_id()), "suffix-rows")
-    packed, spans = find(rows.select(F.col("_weft_row").alias("doc_id"), "text"), **parameters)
+    row, rest = free_name(docs, "_weft_row"), free_name(docs, "_weft_cut")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "suffix-rows")
+    packed, spans = find(rows.select(F.col(row).alias("doc_id"), "text"), **parameters)
 
-    def make(row, texts, own):
-        cut = [(i, _rest(t, s).decode("utf-8", "ignore")) for i, t, s in zip(row["ids"], texts, own, strict=True) if s]
-        return pa.table({"_weft_row": pa.array([i for i, _ in cut], pa.int64()), "_weft_cut": pa.array([t for _, t in cut], pa.string())})
+    def make(bundle, texts, own):
+        cut = [(i, _rest(t, s).decode("utf-8", "ignore")) for i, t, s in zip(bundle["ids"], texts, own, strict=True) if s]
+        return pa.table({row: pa.array([i for i, _ in cut], pa.int64()), rest: pa.array([t for _, t in cut], pa.string())})
 
-    cut = _documents(packed, spans, make, "_weft_row long, _weft_cut string")
-    out = rows.join(cut, "_weft_row", "left").withColumn("_weft_cut", F.coalesce("_weft_cut", "text"))
-    return out.select(*[(F.col("_weft_cut") if c == "text" else out[c]).alias(c) for c in docs.columns])
+    cut = _documents(packed, spans, make, f"`{row}` long, `{rest}` string")
+    out = rows.join(cut, row, "left").withColumn(rest, F.coalesce(rest, "text"))
+    return out.select(*[F.col(rest if c == "text" else f"`{c}`").alias(c) for c in docs.columns])
 
 
 #: Brute force: every 200-byte window of every text.
