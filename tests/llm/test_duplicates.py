@@ -42,10 +42,10 @@ def components(rows):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("rounds, block", [(2, 512), (0, 8)])
-def test_near_duplicates(spark, rounds, block):
+@pytest.mark.parametrize("rounds, block, dense", [(2, 512, 16), (0, 8, 16), (0, 8, 0)])
+def test_near_duplicates(spark, rounds, block, dense):
     rows = corpus()
-    out = near_dup.near_duplicates(frame(spark, rows), rounds=rounds, block=block, salt=4).collect()
+    out = near_dup.near_duplicates(frame(spark, rows), rounds=rounds, block=block, salt=4, dense=dense).collect()
     assert len(out) == len(rows)
     want = components(rows)
     for r in out:
@@ -68,9 +68,10 @@ def test_near_duplicates_of_one_large_group(spark):
             w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
         rows.append((i, " ".join(w), "en", "s", 1))
     rng.shuffle(rows)
-    out = near_dup.near_duplicates(frame(spark, rows), block=64, salt=16).collect()
     want = components(rows)
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
+    for dense in (16, 0):
+        out = near_dup.near_duplicates(frame(spark, rows), block=64, salt=16, dense=dense).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
     assert 5 < len({c for _, c in want.values()}) < 200
 
 
@@ -84,6 +85,41 @@ def test_deduplicate_keeps_columns_and_one_of_repeated_rows(spark):
     assert sorted(map(str, ids)) == sorted(str(r["doc_id"]) for r in near_dup.deduplicate(frame(spark, rows), max_broadcast_rows=1).collect())
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    """They are documents of their own; the result does not depend on the order of rows."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, text(1), "en", "s", 1), (1, text(2), "en", "s", 1), (2, text(1) + " more", "en", "s", 1), (3, text(2) + " more", "en", "s", 1), (3, "", "en", "s", 1), (4, text(4), "b", "s", 1), (4, text(4), "a", "s", 1), (0, text(4), "en", "s", 1), (5, text(5), "b", "s", 1), (5, text(5), "a", "s", 1)]
+    for table in (rows, rows[::-1]):
+        out = near_dup.near_duplicates(frame(spark, table)).collect()
+        assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in out) == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 3, True), (4, 0, False), (4, 0, False), (5, 5, True), (5, 5, True)]
+        left = near_dup.deduplicate(frame(spark, table).repartition(3)).collect()
+        assert sorted((r["doc_id"], r["text"][:4]) for r in left) == [(0, "w4x0"), (1, "w1x0"), (1, "w2x0"), (3, ""), (5, "w5x0")]
+
+
+def test_a_group_at_half_similarity_meets_by_sketches(spark):
+    """Sets that share half their shingles share entries, but no meeting has to compare their texts."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join(base[:150] + [f"y{rng.randrange(10**9)}" for _ in range(70)]), "en", "s", 1) for i in range(400)]
+    sketches = [near_dup.sketch(near_dup.shingles(t.encode(), 5, near_dup.Hashes())) for _, t, *_ in rows]
+    open_pairs = sum(near_dup.may_be_similar(x, np.stack(sketches), 75).sum() - 1 for x in sketches)
+    assert open_pairs < 0.01 * len(rows) ** 2
+    out = near_dup.near_duplicates(frame(spark, rows), block=128).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in out)
+
+
+def test_sketches_leave_similar_sets_open():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 7, 20, 100, 1000, 5000):
+        for _ in range(60):
+            both = rng.integers(0, 2**64, n, dtype=np.uint64)
+            k = int(n * 3 / 4 * 1.0000001) if n > 1 else 1
+            rest = n - k  # 100 * k >= 75 * (k + rest)
+            x, y = np.unique(both[: k + rest // 2]), np.unique(np.concatenate([both[:k], both[k + rest // 2 :]]))
+            if near_dup.similar(x, y, 75):
+                assert near_dup.may_be_similar(near_dup.sketch(x), near_dup.sketch(y)[None, :], 75)[0]
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert near_dup.near_duplicates(frame(spark, [])).count() == 0
     one = near_dup.near_duplicates(frame(spark, [(1, None, None, None, None), (2, "", None, None, None)])).collect()

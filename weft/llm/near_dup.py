@@ -8,17 +8,19 @@ within that distance shares an entry. With 64 symbols in 16 chunks the distance
 
 Entries with one member are done. Within the others no pairs are enumerated: in ``rounds`` rounds each set is compared
 with one hub, the one it shares most entries with, and links merge components. What then still shares an entry
-across two components is compared in blocks: candidate groups (sets connected by open entries) are ordered by component and cut into
-blocks of ``block`` sets; two blocks meet in one task unless both lie in the same component. There the signatures are
-compared as matrices and what is within the distance is confirmed, unless the two sets have been connected in this task
-already. Only links leave a task; no link between components is lost. Equal sets are one set throughout.
+across two components meets in blocks: candidate groups (sets connected by open entries) are ordered by component and cut into
+blocks of ``block`` sets; two blocks meet in one task unless both lie in the same component. A meeting holds signatures and
+sketches only (256 bins, the least hash of each): pairs within the signature distance whose sketches leave a similarity
+of ``percent`` open, at 4.5 deviations, are confirmed on the full sets. A meeting with more of them than ``dense`` for each set is held
+again with the texts: there a pair is confirmed in the task, unless both sets have been connected already. Only
+links leave it. No link between components is lost either way. Equal sets are one set throughout.
 
 Hot entries: their members are rows, counted and joined by Spark; a hub's comparisons are dealt in salted groups
-of about ``salt`` members; a task holds one hub's set, or two blocks, at a time.
+of about ``salt`` members; a task holds one hub's set, or two blocks, at a time. Blocks are bounded by sets and by bytes.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; rows of a null doc_id are linked with
-nothing and have a null component; repeated rows share the component (deduplicate keeps one of them); an empty table
-gives no rows; other columns are ignored, or kept by deduplicate.
+nothing and have a null component; repeated rows share the component (deduplicate keeps one of them); rows of one doc_id with
+different texts are documents of their own; an empty table gives no rows; other columns are ignored, or kept by deduplicate.
 """
 
 from __future__ import annotations
@@ -29,11 +31,12 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weft.llm import bundles as B
-from weft.llm.common import broadcast_if_small, materialize, read_table
+from weft.llm.common import broadcast_if_small, free_name, materialize, read_table
 from weft.operators.graph import components
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -75,23 +78,43 @@ def signature(found: np.ndarray, mults: np.ndarray) -> np.ndarray:
     return (B.mix(low) >> np.uint64(48)).astype(np.uint16)
 
 
+def digest(text) -> Column:
+    """Names a text: 128 bits, computed alike wherever the table is read."""
+    return F.md5(F.encode(text, "UTF-8"))
+
+
 def features(docs: DataFrame, width: int = 5, symbols: int = 64) -> DataFrame:
-    """(doc_id, n_shingles, set_id, sig) of each row; set_id is null for an empty set."""
+    """(doc_id, text_id, n_shingles, set_id, sig) of each row; set_id is null for an empty set."""
     mults = _permutations(symbols)
 
     def run(batches):
         hashes = Hashes()
         for batch in batches:
             n, ids, sigs = [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
                 found = shingles(text, width, hashes)
                 n.append(len(found))
                 ids.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 sigs.append(signature(found, mults).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_id", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "text_id", "n_shingles", "set_id", "sig"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("text_id"), "text")
+    return materialize(rows.mapInArrow(run, "doc_id long, text_id string, n_shingles long, set_id binary, sig binary"), "minhash")
+
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sig binary")
-    return materialize(rows, "minhash")
+def sketch(found: np.ndarray) -> np.ndarray:
+    """256 bins: the least of the sorted hashes with these first 8 bits, as 1..65535; 0 for none."""
+    out = np.zeros(256, np.uint16)
+    bins, first = np.unique(found >> np.uint64(56), return_index=True)
+    out[bins.astype(np.int64)] = B.mix(found[first]) % np.uint64(65535) + np.uint64(1)
+    return out
+
+
+def may_be_similar(one: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sketches leave a similarity of percent open: not more than 4.5 deviations below it."""
+    used = ((others != 0) | (one != 0)).sum(axis=1)
+    goal = percent / 100
+    return ((others == one) & (one != 0)).sum(axis=1) >= goal * used - 4.5 * np.sqrt(goal * (1 - goal) * used) - 1e-9
 
 
 def _entries(reps: DataFrame, symbols: int, chunk: int) -> DataFrame:
@@ -167,65 +190,125 @@ def _one_task(rows: list[tuple], width: int, percent: int, most: int, hashes: Ha
     return links
 
 
-def _in_blocks(open_entries: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, percent: int, most: int, block: int) -> DataFrame:
-    """Links (a, b) between components among sets that share open entries (key, rep, comp)."""
+def _dealt(open_entries: DataFrame, texts: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """(grp, rep, comp, block, mixed): sets that share open entries, in blocks of their group."""
     hubs = open_entries.groupBy("key").agg(F.min("rep").alias("hub")).join(open_entries.select("key", "rep"), "key")
     # A set's hubs (one per entry at most) are tied to the smallest of them: few edges, as many sets have the same hubs.
     hubs = materialize(hubs.groupBy("rep").agg(F.min("hub").alias("first"), F.collect_set("hub").alias("hubs")), "open-hubs")
     edges = hubs.select(F.col("rep").alias("a"), F.col("first").alias("b")).union(hubs.select(F.explode("hubs"), "first")).where("a <> b")
     groups = components(edges.distinct()).select(F.col("id").alias("rep"), F.col("comp").alias("grp"))
-    rows = materialize(groups.join(open_entries.select("rep", "comp").distinct(), "rep"), "open-sets")
-    # Blocks: ordinal within (group, component), so that large components have blocks of their own; small ones share by hash.
-    sizes = rows.groupBy("grp", "comp").agg(F.count("*").alias("n"))
-    shares = sizes.groupBy("grp").agg(F.ceil(F.sum(F.when(F.col("n") < block // 4, F.col("n"))) / block).alias("shared"))
+    rows = groups.join(open_entries.select("rep", "comp").distinct(), "rep").join(texts.select("rep", F.length("z").alias("bytes")), "rep")
+    rows = materialize(rows, "open-sets")
+    # Blocks: by hash within (group, component), so that large components have blocks of their own; small ones share.
+    sizes = rows.groupBy("grp", "comp").agg(F.greatest(F.count("*") / block, F.sum("bytes") / block_bytes).alias("n"))
+    shares = sizes.groupBy("grp").agg(F.ceil(F.sum(F.when(F.col("n") < 0.25, F.col("n")))).alias("shared"))
     cut = sizes.join(shares, "grp")
-    own = F.when(F.col("n") < block // 4, F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.col("shared")))).otherwise(F.concat(F.lit("c"), F.col("comp"), F.lit("/"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / block))))
-    dealt = materialize(rows.join(cut, ["grp", "comp"]).select("grp", "rep", "comp", own.alias("block"), (F.col("n") < block // 4).alias("mixed")), "blocks")
-    blocks = dealt.groupBy("grp", "block", "mixed").agg(F.min("comp").alias("comp"))
-    x, y = blocks.select("grp", *[F.col(c).alias(f"{c}_x") for c in ("block", "mixed", "comp")]), blocks.select("grp", *[F.col(c).alias(f"{c}_y") for c in ("block", "mixed", "comp")])
-    meet = x.join(y, "grp").where("block_x <= block_y and (mixed_x or mixed_y or comp_x <> comp_y)").select("grp", "block_x", "block_y")
+    own = F.when(F.col("n") < 0.25, F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.col("shared")))).otherwise(F.concat(F.lit("c"), F.col("comp"), F.lit("/"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("n")))))
+    return materialize(rows.join(cut, ["grp", "comp"]).select("grp", "rep", "comp", own.alias("block"), (F.col("n") < 0.25).alias("mixed")), "blocks")
+
+
+def _meeting(meet: DataFrame, sets: DataFrame, names: list[str]) -> DataFrame:
+    """The sets(grp, block, *names) of each meeting, together and in order."""
     sides = meet.select("grp", F.col("block_x").alias("block"), "block_x", "block_y", F.lit(0).alias("side"))
     sides = sides.union(meet.where("block_x <> block_y").select("grp", F.col("block_y"), "block_x", "block_y", F.lit(1)))
-    full = dealt.join(sigs, "rep").join(texts, "rep")
-    work = sides.join(full, ["grp", "block"]).select("grp", "block_x", "block_y", "side", "rep", "comp", "sig", "z")
-    work = work.repartition("grp", "block_x", "block_y").sortWithinPartitions("grp", "block_x", "block_y", "side", "rep")
+    work = sides.join(sets, ["grp", "block"]).select("grp", "block_x", "block_y", "side", *names)
+    return work.repartition("grp", "block_x", "block_y").sortWithinPartitions("grp", "block_x", "block_y", "side", "rep")
+
+
+def _meetings(batches):
+    """((grp, block_x, block_y), rows) of each meeting."""
+    now, rows = None, []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if row[:3] != now:
+                if rows:
+                    yield now, rows
+                now, rows = row[:3], []
+            rows.append(row[3:])
+    if rows:
+        yield now, rows
+
+
+def _candidates(rows: list[tuple], percent: int, most: int, dense: int) -> list[tuple[int, int]] | None:
+    """Pairs of rows (side, rep, comp, sig, sketch) that may be links between components; None: more than dense a row."""
+    sides, comps, reps = np.array([r[0] for r in rows]), np.array([r[2] for r in rows]), [r[1] for r in rows]
+    sigs = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(len(rows), -1)
+    sketches = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(len(rows), -1)
+    two, out = len(set(sides.tolist())) == 2, []
+    for i in range(len(rows)):
+        if two and sides[i]:
+            continue
+        j = np.flatnonzero(sides == 1) if two else np.arange(i + 1, len(rows))
+        j = j[comps[j] != comps[i]]
+        j = j[(sigs[j] != sigs[i]).sum(axis=1) <= most]
+        out += [(reps[i], reps[k]) for k in j[may_be_similar(sketches[i], sketches[j], percent)].tolist()]
+        if len(out) > dense * len(rows):
+            return None
+    return out
 
-    def run(batches):
-        hashes, now, rows = Hashes(), None, []
+
+def _in_blocks(open_entries: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, percent: int, most: int, block: int, block_bytes: int, dense: int, salt: int) -> DataFrame:
+    """Links (a, b) between components among sets that share open entries (key, rep, comp)."""
+    dealt = _dealt(open_entries, texts, block, block_bytes)
+    blocks = dealt.groupBy("grp", "block", "mixed").agg(F.min("comp").alias("comp"))
+    x, y = blocks.select("grp", *[F.col(c).alias(f"{c}_x") for c in ("block", "mixed", "comp")]), blocks.select("grp", *[F.col(c).alias(f"{c}_y") for c in ("block", "mixed", "comp")])
+    meet = materialize(x.join(y, "grp").where("block_x <= block_y and (mixed_x or mixed_y or comp_x <> comp_y)").select("grp", "block_x", "block_y"), "meetings")
+    full = dealt.select("grp", "block", "rep", "comp").join(sigs, "rep").join(texts, "rep")
+
+    def drawn(batches):
+        hashes = Hashes()
         for batch in batches:
-            links = []
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if row[:3] != now:
-                    links += _one_task(rows, width, percent, most, hashes) if rows else []
-                    now, rows = row[:3], []
-                rows.append(row[3:])
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
-        links = _one_task(rows, width, percent, most, hashes) if rows else []
-        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+            own = [sketch(shingles(B.unsqueeze(z), width, hashes)).tobytes() for z in batch.column(batch.schema.get_field_index("z")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in ("grp", "block", "rep", "comp", "sig")], pa.array(own, pa.binary())], names=["grp", "block", "rep", "comp", "sig", "sketch"])
+
+    light = materialize(full.mapInArrow(drawn, "grp long, block string, rep long, comp long, sig binary, sketch binary"), "sketches")
+
+    def look(batches):
+        for (grp, bx, by), rows in _meetings(batches):
+            found = _candidates(rows, percent, most, dense)
+            out = [(grp, bx, by, None, None)] if found is None else [(grp, bx, by, a, b) for a, b in found]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["grp", "block_x", "block_y", "a", "b"])
+
+    seen = _meeting(meet, light, ["rep", "comp", "sig", "sketch"]).mapInArrow(look, "grp long, block_x string, block_y string, a long, b long")
+    seen = materialize(seen, "candidates")
+    links = confirm(seen.where("a is not null").select("a", "b"), texts, width, percent, salt)
+    again = seen.where("a is null").select("grp", "block_x", "block_y")
+    if again.isEmpty():
+        return links
+
+    def settle(batches):
+        hashes = Hashes()
+        for _, rows in _meetings(batches):
+            found = _one_task(rows, width, percent, most, hashes)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return work.mapInArrow(run, "a long, b long")
+    return links.union(_meeting(again, full, ["rep", "comp", "sig", "z"]).mapInArrow(settle, "a long, b long"))
 
 
 def _compressed(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([B.squeeze(t) for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["id", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([B.squeeze(t) for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["rep", "z"])
 
-    return docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, z binary")
+    return docs.mapInArrow(run, "rep long, z binary")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, symbols: int = 64, chunk: int = 4, rounds: int = 2, salt: int = 256, block: int = 512, max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row."""
+def _related(docs: DataFrame, width: int, percent: int, symbols: int, chunk: int, rounds: int, salt: int, block: int, block_bytes: int, dense: int, max_broadcast_rows: int) -> DataFrame:
+    """(doc_id, text_id, n_shingles, comp, component_id) of each row; comp tells components apart, null for empty sets."""
     most = 2 * (symbols // chunk) - 1
     found = features(docs, width, symbols)
     real = found.where("set_id is not null and doc_id is not null")
-    sets = materialize(real.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "sets")
+    sets = real.groupBy("set_id").agg(F.min("doc_id").alias("low"), F.min("text_id").alias("text_id"), F.first("sig").alias("sig"))
+    sets = materialize(sets.withColumn("rep", F.monotonically_increasing_id()), "sets")  # numbered once, in the table
     entries = _entries(sets, symbols, chunk)
     live = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = materialize(entries.join(live, "key"), "entries")
-    sigs = materialize(sets.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "sig"), "live-sets")
-    texts = _compressed(docs).join(broadcast_if_small(sigs.select(F.col("rep").alias("id")), max_broadcast_rows), "id")
-    texts = materialize(texts.groupBy("id").agg(F.first("z").alias("z")).withColumnRenamed("id", "rep"), "live-texts")
+    sigs = materialize(sets.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "sig", "text_id"), "live-sets")
+    wanted = broadcast_if_small(sigs.select("rep", "text_id"), max_broadcast_rows)
+    texts = docs.where("text is not null").select(digest(F.col("text")).alias("text_id"), "text").join(wanted, "text_id").select("rep", "text")
+    texts = materialize(_compressed(texts).groupBy("rep").agg(F.first("z").alias("z")), "live-texts")  # equal texts: any will do
+    sigs = sigs.select("rep", "sig")
     links, labels = None, None
     for r in range(rounds + 1):
         now = members.withColumn("comp", F.col("rep"))
@@ -244,26 +327,50 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, symbols:
             own = materialize(now.join(open_.select("key"), "key", "left_semi"), "open-entries")
             if own.isEmpty():
                 break
-            new = _in_blocks(own, sigs, texts, width, percent, most, block)
+            new = _in_blocks(own, sigs, texts, width, percent, most, block, block_bytes, dense, salt)
         new = materialize(new, "links")
         links = new if links is None else links.union(new)
         labels = components(links)
-    comps = sets.select("set_id", "rep")
+    comps = sets.select("set_id", "low", F.col("rep").alias("comp"))
     if labels is not None:
-        comps = comps.join(labels, comps["rep"] == labels["id"], "left").select("set_id", F.coalesce("comp", "rep").alias("rep"))
+        named = sets.join(labels, sets["rep"] == labels["id"], "left").select("set_id", "low", F.coalesce("comp", "rep").alias("comp"))
+        first = named.groupBy("comp").agg(F.min("low").alias("least"))
+        comps = named.join(first, "comp").select("set_id", F.col("least").alias("low"), "comp")
     out = found.join(comps, "set_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "text_id", "n_shingles", "comp", F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"))
+
+
+PARAMETERS = dict(width=5, percent=75, symbols=64, chunk=4, rounds=2, salt=256, block=512, block_bytes=16 << 20, dense=16, max_broadcast_rows=1_000_000)
+
+
+def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row; parameters: those of PARAMETERS."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return _related(docs, **(PARAMETERS | parameters)).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def deduplicate(docs: DataFrame, max_broadcast_rows: int = 4_000_000, **parameters) -> DataFrame:
-    """The rows of docs that stay, with their columns: the smallest doc_id of each component, once."""
-    out = materialize(near_duplicates(docs, **parameters), "near-dup")
-    gone = broadcast_if_small(out.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), max_broadcast_rows)
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    if out.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    """The rows of docs that stay, with their columns: one of each component, that of the smallest doc_id, then of the smallest
+    digest of its text, then of its other columns. Rows of a null doc_id stay."""
+    out = _related(docs, **(PARAMETERS | parameters)).where("doc_id is not null").withColumn("text_id", F.coalesce("text_id", F.lit("")))
+    out = materialize(out, "near-dup")
+    id_, text_, gone, kept, number = (free_name(docs, c) for c in ("_weft_id", "_weft_text", "_weft_gone", "_weft_kept", "_weft_n"))
+    rows = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(text_, F.coalesce(digest(F.col("text")), F.lit("")))
+
+    def matched(left, right, how):
+        right = broadcast_if_small(right.toDF(*[gone, kept][: len(right.columns)]), max_broadcast_rows)
+        on = [F.col(id_) == F.col(gone), F.col(text_) == F.col(kept)][: len(right.columns)]
+        return left.join(right, on, how)
+
+    left = matched(rows, out.where("doc_id <> component_id").select("doc_id", "text_id").distinct(), "left_anti")
+    firsts = out.where("doc_id = component_id")
+    twice = materialize(firsts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    if not twice.isEmpty():
+        keep = firsts.join(twice, "doc_id").groupBy("doc_id", "comp").agg(F.min("text_id").alias("text_id")).select("doc_id", "text_id")
+        of_pair = Window.partitionBy(id_, text_).orderBy(F.xxhash64(*[f"`{c}`" for c in docs.columns]))
+        one = matched(left, keep, "left_semi").withColumn(number, F.row_number().over(of_pair)).where(F.col(number) == 1).drop(number)
+        left = matched(left, twice, "left_anti").unionByName(one)
+    return left.select(*[f"`{c}`" for c in docs.columns])
 
 
 #: Brute force: every pair of documents that share a shingle, then the closure of the links.
