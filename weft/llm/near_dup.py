@@ -340,7 +340,7 @@ def _related(docs: DataFrame, width: int, percent: int, symbols: int, chunk: int
     return out.select("doc_id", "text_id", "n_shingles", "comp", F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"))
 
 
-PARAMETERS = dict(width=5, percent=75, symbols=64, chunk=4, rounds=2, salt=256, block=512, block_bytes=16 << 20, dense=16, max_broadcast_rows=1_000_000)
+PARAMETERS = dict(width=5, percent=75, symbols=64, chunk=4, rounds=2, salt=256, block=512, block_bytes=16 << 20, dense=16, max_broadcast_rows=250_000)
 
 
 def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
