@@ -337,32 +337,87 @@ def toxic_rows(n=400, seed=1):
 def test_toxicity_on_held_out_rows(spark):
     rows, labels = toxic_rows()
     docs, table = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    out = toxicity.score(docs, toxicity.fit(docs, table)).collect()
+    out = toxicity.assess(docs, table).collect()
     truth = {i: any(x in t for x in ("nasty", "vile", "foul")) for i, t, *_ in rows}
     held = [r for r in out if r["held_out"]]
     assert 60 < len(held) < 140
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) >= 0.97 * len(held)
     flipped = [(i, q, 1 - t) if toxicity.is_held_out(i) else (i, q, t) for i, q, t in labels]
-    again = toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame(flipped, "doc_id long, quality int, toxic int"))).collect()
+    again = toxicity.assess(docs, spark.createDataFrame(flipped, "doc_id long, quality int, toxic int")).collect()
     assert {r["doc_id"]: r["score"] for r in again} == {r["doc_id"]: r["score"] for r in out}  # labels of the held-out fold are never read
 
 
+def test_toxicity_of_themes_without_labels_of_their_words(spark):
+    """No labelled row has the words of a theme: voters vote on unlabelled rows all the same, in any script and length."""
+    rows, labels = toxic_rows()
+    rows += [(1000 + i, "you are a pathetic idiot and a worthless moron, you stupid clown " + "日本 " * i, "en", "s", 1) for i in range(40)]
+    rows += [(2000, "word1 " * 200_000, "en", "s", 1), (2001, "word1 " * 200_000 + "idiot pathetic", "en", "s", 1)]
+    out = {r["doc_id"]: r["predicted"] for r in toxicity.assess(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert sum(out[1000 + i] for i in range(40)) >= 38 and not out[2000]
+
+
+def test_toxicity_against_brute_force(spark):
+    """Mined terms, votes, posteriors and scores by plain loops over the rows."""
+    rows, labels = toxic_rows(n=300, seed=3)
+    rows += [(5000 + i, f"{rows[i][1]} you idiot!!!", "en", "s", 1) for i in range(20)]
+    docs, table = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    known = {i: t for i, _, t in labels if not toxicity.is_held_out(i)}
+    mined = toxicity.mine(docs, table.where(F.col("doc_id").isin(list(known))).select(F.col("doc_id").alias("id"), "toxic"), places=1)
+    counts = {y: Counter() for y in (0, 1)}
+    for i, t, *_ in rows:
+        if i in known:
+            counts[known[i]].update({x for w in set(toxicity.words_of(t.encode())) for x in toxicity.terms_of(w)})
+    n = Counter(known.values())
+    want = set()
+    for t, b in counts[1].items():
+        g = counts[0][t]
+        e = (b + g) * n[1] / (n[0] + n[1])
+        if b - e >= 8 * math.sqrt(e) and (b + 0.5) / (n[1] + 1) / ((g + 0.5) / (n[0] + 1)) >= 16:
+            want.add(t)
+    assert {t for t, _ in mined} == want
+
+    model, table = toxicity.fit(docs, table)
+    found = {r["doc_id"]: (np.frombuffer(bytes(r["words"]), np.uint16), np.unpackbits(np.frombuffer(bytes(r["votes"]), np.uint8), count=model.voters.size)) for r in table.collect()}
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(table, model).collect()}
+    for i, text, *_ in rows:
+        words = toxicity.words_of(text.encode())
+        votes = model.voters.votes(text.encode(), words, {w: k for w in words if (k := model.voters.lexicons_of(w))})
+        assert (votes == found[i][1]).all()
+        z = sum(model.weights[toxicity.xxhash.xxh3_64_intdigest(w) % toxicity.BUCKETS] * 0.3 / math.sqrt(len(found[i][0])) for w in {toxicity.xxhash.xxh3_64_intdigest(w) % toxicity.BUCKETS: w for w in words}.values())
+        z += sum(model.weights[toxicity.BUCKETS + k] for k in range(len(votes)) if votes[k]) + model.weights[-1]
+        assert scores[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=2e-6)
+    label = model.labelling
+    for i, y in [(1, -1), (2, 0), (3, 1)]:
+        odds = math.log(label.prior / (1 - label.prior))
+        for k, v in enumerate(found[i][1]):
+            odds += label.weight[k] * math.log(label.p1[k] / label.p0[k] if v else (1 - label.p1[k]) / (1 - label.p0[k]))
+        odds += {-1: 0, 0: math.log((1 - label.label1) / (1 - label.label0)), 1: math.log(label.label1 / label.label0)}[y]
+        assert label.posterior(found[i][1][None, :], np.array([y]))[0] == pytest.approx(1 / (1 + math.exp(-odds)))
+
+
 def test_toxicity_odd_cases(spark):
-    labels = spark.createDataFrame([(1, 1, 1), (3, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(1, 1, 1), (3, 1, None), (None, 1, 1), (1, 1, 0), (4, 1, 7)], "doc_id long, quality int, toxic int")
     docs = frame(spark, corpus())
-    out = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    out = toxicity.assess(docs, labels).collect()
     assert len(out) == len(corpus()) and all(0 <= r["score"] <= 1 for r in out)
-    assert toxicity.score(frame(spark, []), toxicity.fit(frame(spark, []), labels.limit(0))).count() == 0
+    assert toxicity.assess(frame(spark, []), labels.limit(0)).count() == 0
+    both = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert toxicity.assess(docs, both).where("score between 0 and 1").count() == len(corpus())
 
 
-def test_label_model_discounts_copies():
+def test_label_model_recovers_rates_and_discounts_copies():
     rng = np.random.default_rng(0)
-    y = rng.random(3000) < 0.3
-    vote = lambda hit, noise: ((y & (rng.random(3000) < hit)) | (~y & (rng.random(3000) < noise))).astype(int)
-    good, bad = [vote(0.8, 0.03) for _ in range(3)], vote(0.5, 0.3)
-    q, found = toxicity.label_model(np.stack([*good, bad, bad, bad, bad], axis=1), y.astype(float))
-    assert ((q > 0.5) == y).mean() > 0.93
-    assert found["shrink"][3:].max() < found["shrink"][:3].min()
+    n = 20_000
+    y = rng.random(n) < 0.3
+    vote = lambda hit, noise: ((y & (rng.random(n) < hit)) | (~y & (rng.random(n) < noise))).astype(np.uint8)
+    good, bad = [vote(h, e) for h, e in ((0.8, 0.03), (0.7, 0.05), (0.5, 0.02), (0.6, 0.1))], vote(0.5, 0.3)
+    votes, labels = np.stack([*good, bad, bad, bad], axis=1), np.where(rng.random(n) < 0.1, np.where(rng.random(n) < 0.05, ~y, y), -1)
+    model = toxicity.LabelModel(np.ones(7), 0.3)
+    for _ in range(40):
+        model.update(model.expect(votes, labels, np.ones(n)))
+    assert np.abs(model.p1[:4] - [0.8, 0.7, 0.5, 0.6]).max() < 0.06 and np.abs(model.p0[:4] - [0.03, 0.05, 0.02, 0.1]).max() < 0.06
+    assert model.weight[4:].max() < model.weight[:4].min()
+    assert ((model.posterior(votes, np.full(n, -1)) > 0.5) == y).mean() > 0.93
 
 
 def test_pipeline(spark, tmp_path):
