@@ -1,6 +1,7 @@
 """Kernels against plain versions."""
 
 import itertools
+import time
 
 import numpy as np
 import pandas as pd
@@ -176,3 +177,45 @@ def test_linear_programs_solve_every_month(spark):
     for name in ("o01_dc_opf", "o02_zonal_market", "o03_redispatch"):
         rows = catalog.QUERIES[name](spark, d).collect()
         assert {r["hour"] for r in rows} == months and len(rows) == len(months) * (1 if name == "o03_redispatch" else 25), name
+
+
+def test_moves_cost_what_the_whole_energy_says():
+    rng = np.random.default_rng(11)
+    n, k = 40, 4
+    w = np.triu(rng.normal(size=(n, n)) * (rng.random((n, n)) < 0.2), 1)
+    w, load, labels, anchor = w + w.T, rng.random(n) + 0.1, rng.integers(k, size=n), rng.integers(3, size=n)
+    for own, rigid in ((None, 0.0), (anchor, 7.0)):
+        state = P.Labelling(w, labels, load, k, 0.3, 2.0, own, rigid)
+        now = P.energy(w, labels, load, k, 0.3, 2.0, own, rigid)
+        for _ in range(200):
+            now += state.move(int(rng.integers(n)), int(rng.integers(k)))
+            assert abs(now - P.energy(w, state.labels, load, k, 0.3, 2.0, own, rigid)) < 1e-9
+
+
+def test_annealer_of_400_nodes_keeps_zones_whole_and_is_quick():
+    side = 20
+    at = np.arange(side * side).reshape(side, side)
+    w = np.zeros((side * side, side * side))
+    truth = (at // side // 10 * 2 + at % side // 10).reshape(-1)
+    for a, b in [*zip(at[:, :-1].reshape(-1), at[:, 1:].reshape(-1), strict=True), *zip(at[:-1].reshape(-1), at[1:].reshape(-1), strict=True)]:
+        w[a, b] = w[b, a] = 1.0 if truth[a] == truth[b] else -1.0
+    start = (at % side // 5).reshape(-1)
+    began = time.time()
+    labels, e, _ = P.anneal(w, start, np.ones(400), 4, seed=2, sweeps=60)
+    assert time.time() - began < 60
+    assert e == pytest.approx(P.energy(w, labels, np.ones(400), 4, 1e-9, 0.0)) and e < P.energy(w, start, np.ones(400), 4, 1e-9, 0.0)
+    state = P.Labelling(w, labels, np.ones(400), 4, 0.0, 0.0, None, 0.0)
+    assert all(state.whole(z) for z in np.unique(labels))
+
+
+def test_redispatch_keeps_net_positions():
+    lines = pd.DataFrame({"i": [0, 1, 2, 3], "j": [1, 2, 3, 0], "x": [1.0, 1.0, 1.0, 1.0], "s": [60.0, 20.0, 60.0, 20.0]})
+    gens = pd.DataFrame({"bus": [0, 1, 2, 3], "cap": [100.0, 100.0, 100.0, 100.0], "cost": [10.0, 20.0, 30.0, 40.0]})
+    load, market, zone = np.array([20.0, 20.0, 50.0, 50.0]), np.array([100.0, 40.0, 0.0, 0.0]), np.array([0, 0, 1, 1])
+    free = lp.redispatch(lines, gens, load, market)
+    bound = lp.redispatch(lines, gens, load, market, zone=zone, net=np.array([10.0, -10.0]))
+    carried = lambda r: r["flow"][1] - r["flow"][3]
+    assert free["ok"] and bound["ok"] and carried(free) > 15
+    assert carried(bound) == pytest.approx(10, abs=1e-3) and np.abs(bound["slack"]).max() < 1e-3
+    far = lp.redispatch(lines, gens, load, market, zone=zone, net=np.array([100.0, -100.0]))  # the lines carry 40 at most
+    assert far["ok"] and carried(far) + far["slack"][0] * -1 == pytest.approx(100, abs=1e-2)

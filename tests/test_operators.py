@@ -1,5 +1,7 @@
 """Operators on hand-made rows: ties, nulls, empty tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +90,27 @@ def test_parameters():
     assert R.merge_parameters(base, {"a": {"c": 3}}) == {"a": {"b": 1, "c": 3}, "d": "x"}
     with pytest.raises(TypeError):
         R.merge_parameters(base, {"d": 1})
+
+
+def test_nearest_against_all_pairs(spark):
+    rng = random.Random(4)
+    left = [(i, i % 3, rng.random() * 100, rng.random() * 100) for i in range(120)]
+    right = [(i, i % 2, rng.choice([rng.random() * 100, 5.0]), rng.choice([rng.random() * 100, 5.0])) for i in range(90)]
+    a, b = spark.createDataFrame(left, "id long, g long, x double, y double"), spark.createDataFrame(right, "rid long, g long, u double, v double")
+    got = {r["id"]: (r["nearest"], round(r["d2"], 9)) for r in J.nearest(a, b, ["g"], "id", "rid", "x", "y", "u", "v").collect()}
+    want = {}
+    for i, g, x, y in left:
+        near = [((x - u) ** 2 + (y - v) ** 2, j) for j, h, u, v in right if h == g]
+        if near:
+            d, j = min(near)
+            want[i] = (j, round(d, 9))
+    assert got == want and J.nearest(a, b.limit(0), ["g"], "id", "rid", "x", "y", "u", "v").count() == 0
+
+
+def test_global_ranks(spark):
+    rows = [(i, (i * 37) % 50) for i in range(500)]
+    got = S.global_mid_rank(spark.createDataFrame(rows, "i long, x long").repartition(7), "x", "r").collect()
+    order = sorted(x for _, x in rows)
+    for r in got:
+        places = [k + 1 for k, x in enumerate(order) if x == r["x"]]
+        assert r["r"] == sum(places) / len(places)

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where that is unset a folder of our own (tests)."""
+    """spark.checkpoint.dir, or where that is unset and one machine does all the work (tests) a folder of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="weft-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

@@ -67,32 +67,93 @@ def energy(w: np.ndarray, labels: np.ndarray, load: np.ndarray, k: int, floor: f
     return float(out)
 
 
-def anneal(w: np.ndarray, labels: np.ndarray, load: np.ndarray, k: int, seed: int, sweeps: int = 60, hot: float = 1.0, cold: float = 0.01, floor: float = 0.0, balance: float = 0.0, anchor=None, rigid: float = 0.0, frames: bool = False):
-    """(labels, energy, frames): single moves of boundary nodes to a neighbouring zone, each zone kept in one piece, geometric
-    cooling, then a quench. The best labelling seen is returned."""
+class Labelling:
+    """Labels with the sums that make the energy change of a move cheap: loads by zone, and loads and nodes by zone and anchor zone."""
+
+    def __init__(self, w, labels, load, k: int, floor: float, balance: float, anchor, rigid: float):
+        self.w, self.labels, self.load, self.k = w, labels.copy(), load / load.sum(), k
+        self.floor, self.balance = floor or 1e-9, balance
+        self.near = [np.flatnonzero(row) for row in w]
+        self.share = np.bincount(labels, weights=self.load, minlength=k)
+        self.count = np.bincount(labels, minlength=k)
+        self.anchor = anchor if anchor is not None and rigid else None
+        self.rigid = rigid / max(1, len(labels) - 1)
+        if self.anchor is not None:
+            self.nodes, self.loads = np.zeros((k, anchor.max() + 1)), np.zeros((k, anchor.max() + 1))
+            np.add.at(self.nodes, (labels, anchor), 1)
+            np.add.at(self.loads, (labels, anchor), self.load)
+
+    def _pull(self, i: int, zone: int) -> float:
+        """What the zone's pairs with node i weigh against the anchor: those it shares a zone of the anchor with, less the others."""
+        a = self.anchor[i]
+        return self.load[i] * (2 * self.nodes[zone, a] - self.nodes[zone].sum()) + 2 * self.loads[zone, a] - self.loads[zone].sum()
+
+    def move(self, i: int, to: int) -> float:
+        """Moves node i; the change of energy."""
+        at, j = self.labels[i], self.near[i]
+        if at == to:
+            return 0.0
+        own = self.labels[j]
+        out = self.w[i, j] @ ((own == at) & (j != i)) - self.w[i, j] @ (own == to)
+        before, after = self.share[[at, to]], self.share[[at, to]] + np.array([-self.load[i], self.load[i]])
+        short = lambda x: (np.maximum(self.floor - x, 0) ** 2).sum()
+        out += self.balance * (short(after) - short(before)) / self.floor**2
+        self.labels[i], self.share[[at, to]] = to, after
+        self.count[at] -= 1
+        self.count[to] += 1
+        if self.anchor is not None:
+            self.nodes[at, self.anchor[i]] -= 1
+            self.loads[at, self.anchor[i]] -= self.load[i]
+            out += self.rigid * (self._pull(i, at) - self._pull(i, to))
+            self.nodes[to, self.anchor[i]] += 1
+            self.loads[to, self.anchor[i]] += self.load[i]
+        return float(out)
+
+    def fragment(self, i: int, size: int) -> list[int]:
+        """Node i and nodes of its zone next to it, up to size, nearest first."""
+        out, seen = [i], {i}
+        for x in out:
+            for j in self.near[x].tolist():
+                if len(out) < size and j not in seen and self.labels[j] == self.labels[i]:
+                    seen.add(j)
+                    out.append(j)
+        return out
+
+    def whole(self, zone: int) -> bool:
+        """Whether the zone is one piece (an empty one is not)."""
+        inside = np.flatnonzero(self.labels == zone)
+        return len(inside) > 0 and len(self.fragment(int(inside[0]), len(inside))) == len(inside)
+
+
+def anneal(w: np.ndarray, labels: np.ndarray, load: np.ndarray, k: int, seed: int, sweeps: int = 60, hot: float = 1.0, cold: float = 0.01, floor: float = 0.0, balance: float = 0.0, anchor=None, rigid: float = 0.0, frames: bool = False, block: int = 6):
+    """(labels, energy, frames): moves of boundary nodes, and in every sweep of some fragments of up to ``block`` nodes, to a neighbouring zone,
+    each zone kept in one piece; geometric cooling, then a quench. A move costs what its node's neighbours and two zones cost, not
+    the network. The best labelling seen is returned."""
     rng, n = np.random.default_rng(seed), len(labels)
-    near = [np.flatnonzero(w[i]) for i in range(n)]
-    labels = labels.copy()
-    floor = floor or 1e-9
-    now = energy(w, labels, load, k, floor, balance, anchor, rigid)
-    best, out, shots = now, labels.copy(), []
+    now = best = energy(w, labels, load, k, floor or 1e-9, balance, anchor, rigid)
+    state, out, shots = Labelling(w, labels, load, k, floor, balance, anchor, rigid), labels.copy(), []
     for sweep in range(sweeps + 10):
         temperature = hot * (cold / hot) ** (sweep / max(1, sweeps - 1)) if sweep < sweeps else 0.0
-        for i in rng.permutation(n):
-            zones = np.unique(labels[near[i]])
-            zones = zones[zones != labels[i]]
-            if not len(zones) or (labels == labels[i]).sum() < 2 or not connected_without(labels, i, near):
+        singles = [(int(i), 1) for i in rng.permutation(n)]
+        fragments = [(int(i), int(rng.integers(2, block + 1))) for i in rng.integers(n, size=n // 10)] if block > 1 else []
+        for i, size in singles + fragments:
+            old = int(state.labels[i])
+            zones = np.unique(state.labels[state.near[i]])
+            zones = zones[zones != old]
+            if not len(zones) or state.count[old] < size + 1 or (size == 1 and not connected_without(state.labels, i, state.near)):
                 continue
-            old, labels[i] = labels[i], rng.choice(zones)
-            new = energy(w, labels, load, k, floor, balance, anchor, rigid)
-            if new <= now or (temperature > 0 and rng.random() < np.exp((now - new) / temperature)):
-                now = new
-                if now < best - 1e-12:
-                    best, out = now, labels.copy()
+            to, nodes = int(rng.choice(zones)), state.fragment(i, size)
+            change = sum(state.move(x, to) for x in nodes)
+            fits = size == 1 or state.whole(old)
+            if fits and (change <= 0 or (temperature > 0 and rng.random() < np.exp(-change / temperature))):
+                now += change
+                if now < best - 1e-9:
+                    best, out = now, state.labels.copy()
             else:
-                labels[i] = old
+                for x in reversed(nodes):
+                    state.move(x, old)
         if frames:
-            shots.append(labels.tolist())
+            shots.append(state.labels.tolist())
     return out, best, shots
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weft.functions.shared import materialize
+
 from weft.functions.columns import col
 
 
@@ -62,6 +64,22 @@ def count_for_share(df: DataFrame, by: list[str], x: str, ties: list[str], num:
     return rows.where(F.col("cum") * den >= F.col("total") * num).groupBy(*by).agg(F.min("_k").cast("long").alias("k"))
 
 
+def numbered(df: DataFrame, order: list[Column], into: str) -> DataFrame:
+    """df with ``into``: 0, 1, ... in the order of the columns ``order``, by a distributed sort and the row counts of its parts."""
+    rows = materialize(df.orderBy(*order).withColumn(into, F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright(F.col(into), 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row per part of the sort
+    starts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    return rows.join(starts, part == F.col("_part")).withColumn(into, F.col("_start") + F.col(into).bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_start")
+
+
+def global_mid_rank(df: DataFrame, x: str, into: str) -> DataFrame:
+    """df with the average rank of ties of column x over all rows, from 1; no task holds more than its part of the sort."""
+    at = numbered(df, [F.col(x).asc_nulls_first()], "_at")
+    ties = at.groupBy(F.col(x).alias("_x")).agg((F.avg("_at") + 1).alias(into))
+    return at.drop("_at").join(ties, F.col(x).eqNullSafe(F.col("_x"))).drop("_x")
+
+
 def mid_rank(x, by: list[str]) -> Column:
     """Average rank of ties, from 1."""
     return F.rank().over(Window.partitionBy(*by).orderBy(col(x))) + (F.count(F.lit(1)).over(Window.partitionBy(*by, col(x))) - 1) / 2

@@ -306,7 +306,8 @@ def a46(s, d):
 SELECT round(corr(rp, rq), 6) AS spearman, (count(*) FILTER (kp <= 10 AND kq <= 10))::BIGINT AS overlap, (arg_min(bus, kp) = arg_min(bus, kq)) AS same FROM r""")
 def a47(s, d):
     u = readings(s, d).groupBy("bus").agg(F.sum(F.when(F.col("config") == "A", F.col("x"))).alias("p"), F.sum(F.when(F.col("config") == "R", F.col("x"))).alias("q"))
-    r = u.withColumn("rp", S.mid_rank("p", [])).withColumn("rq", S.mid_rank("q", [])).withColumn("kp", F.row_number().over(Window.orderBy("p", "bus"))).withColumn("kq", F.row_number().over(Window.orderBy("q", "bus")))  # one row per bus
+    r = S.numbered(S.global_mid_rank(S.global_mid_rank(u, "p", "rp"), "q", "rq"), [F.col("p"), F.col("bus")], "kp")
+    r = S.numbered(r, [F.col("q"), F.col("bus")], "kq").withColumn("kp", F.col("kp") + 1).withColumn("kq", F.col("kq") + 1)
     return r.agg(r6(F.corr("rp", "rq")).alias("spearman"), F.count_if((F.col("kp") <= 10) & (F.col("kq") <= 10)).alias("overlap"), (F.min_by("bus", "kp") == F.min_by("bus", "kq")).alias("same"))
 
 

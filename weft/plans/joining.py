@@ -147,11 +147,11 @@ def j19(s, d):
     return J.cover_check(t(s, d, "nation"), t(s, d, "supplier").where("s_suppkey % 4 = 0").withColumnRenamed("s_nationkey", "n_nationkey"), "n_nationkey")
 
 
-@query("j20_bracket_interpolation", """WITH g AS (SELECT p_size % 10 AS k, p_size::DOUBLE AS x, min(p_retailprice) AS y FROM part WHERE p_size % 10 < 3 AND p_size % 3 = 0 GROUP BY 1, 2), q AS (SELECT DISTINCT p_size % 10 AS k, p_size + 1.5 AS x FROM part WHERE p_size % 10 < 3)
+@query("j20_bracket_interpolation", """WITH g AS (SELECT p_size % 10 AS k, p_size::DOUBLE AS x, min(p_retailprice) AS y FROM part WHERE p_size % 3 = 0 GROUP BY 1, 2), q AS (SELECT DISTINCT p_size % 10 AS k, p_size + 1.5 AS x FROM part)
 SELECT q.k::BIGINT AS k, q.x AS x, round(CASE WHEN lo.x = hi.x THEN lo.y ELSE lo.y + (hi.y - lo.y) * (q.x - lo.x) / (hi.x - lo.x) END, 6) AS value FROM q
 JOIN LATERAL (SELECT max(x) AS x, arg_max(y, x) AS y FROM g WHERE g.k = q.k AND g.x <= q.x) lo ON true JOIN LATERAL (SELECT min(x) AS x, arg_min(y, x) AS y FROM g WHERE g.k = q.k AND g.x >= q.x) hi ON true""")
 def j20(s, d):
-    part = t(s, d, "part").where("p_size % 10 < 3").withColumn("k", (F.col("p_size") % 10).cast("long"))
+    part = t(s, d, "part").withColumn("k", (F.col("p_size") % 10).cast("long"))
     grid = part.where("p_size % 3 = 0").groupBy("k", F.col("p_size").cast("double").alias("x")).agg(F.min("p_retailprice").alias("y"))
     asked = part.select("k", (F.col("p_size") + F.expr("cast(1.5 as double)")).alias("x")).distinct()
     return J.bracket(asked.withColumnRenamed("x", "at"), grid, ["k"], "at", "x", "y").select("k", F.col("at").alias("x"), F.round("value", 6).alias("value"))

@@ -54,6 +54,7 @@ def o02(s, d):
 def o03(s, d):
     lines, gens = network(s, d)
     links = lines.rename(columns={"s": "cap"})[["i", "j", "cap"]].assign(cap=1e4)
+    zone = np.array([r["n_regionkey"] for r in t(s, d, "nation").orderBy("n_nationkey").collect()])  # 25 nations
 
     def run(batches):
         for pdf in batches:
@@ -61,11 +62,12 @@ def o03(s, d):
             for hour, load in zip(pdf["hour"], pdf["load"], strict=True):
                 x = np.asarray(load, float)
                 market = lp.zonal_market(links, gens.rename(columns={"bus": "zone"}), x)
-                r = lp.redispatch(lines, gens, x, np.clip(market["gen"], 0, gens["cap"]))
-                out.append((hour, float(r["up"].sum()), float(r["down"].sum()), float(r["shed"].sum()), bool(r["ok"])))
-            yield pd.DataFrame(out, columns=["hour", "up", "down", "shed", "ok"])
+                net = np.bincount(zone, weights=market["net"])
+                r = lp.redispatch(lines, gens, x, np.clip(market["gen"], 0, gens["cap"]), zone=zone, net=net)
+                out.append((hour, float(r["up"].sum()), float(r["down"].sum()), float(r["shed"].sum()), float(np.abs(r["slack"]).sum()), bool(r["ok"])))
+            yield pd.DataFrame(out, columns=["hour", "up", "down", "shed", "slack", "ok"])
 
-    return loads(s, d).mapInPandas(run, "hour string, up double, down double, shed double, ok boolean").select("hour", *[F.round(c, 3).alias(c) for c in ("up", "down", "shed")], "ok")
+    return loads(s, d).mapInPandas(run, "hour string, up double, down double, shed double, slack double, ok boolean").select("hour", *[F.round(c, 3).alias(c) for c in ("up", "down", "shed", "slack")], "ok")
 
 
 @query("o04_relief", None)

@@ -49,9 +49,9 @@ def polygons(spark: SparkSession, path: str, names: dict[str, str]) -> DataFrame
 
 
 def verified_files(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes, sha256, md5) of binary files: provenance rows, to be joined with a manifest."""
+    """(path, name, bytes, sha256, md5) of binary files: provenance rows, to be joined with a manifest."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
 
 
 def hourly_spine(bounds: DataFrame, start: str, end: str, at: str) -> DataFrame:
