@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -128,6 +129,30 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_license_notices_and_long_runs_of_known_sentences():
+    scanner = licenses.Scanner(licenses.SENTENCES, licenses.RULES, 2)
+    gnu = "This {what} is free software{colon} you can redistribute it and/or modify\nit under the terms of the GNU {kind}General Public License as published by\nthe Free Software Foundation{semi} either version {v} of the License, or\n(at your option) any later version."
+    notices = {
+        "GPL-3.0-or-later": gnu.format(what="program", colon=":", kind="", semi=",", v="3"), "GPL-2.0-or-later": gnu.format(what="program", colon=";", kind="", semi=";", v="2"),
+        "LGPL-2.1-or-later": gnu.format(what="library", colon=";", kind="Lesser ", semi=";", v="2.1"), "AGPL-3.0-or-later": gnu.format(what="program", colon=":", kind="Affero ", semi=",", v="3"),
+        "MPL-2.0": "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "Unlicense": "This is free and unencumbered software released into the public domain.", "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    }
+    for name, text in notices.items():
+        assert scanner.scan(f"Some words before.\n\n{text}\n\nAnd after.")["licenses"] == name
+    began = time.time()
+    out = scanner.scan("Released under the MIT License.\nLicensed under CC BY 4.0.\n" * 10_000)
+    assert out["n_matches"] == 20_000 and time.time() - began < 20
+
+
+def test_decontamination_stage_keeps_clashing_columns(spark, tmp_path):
+    spark.createDataFrame([(1, "x y z")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(1, "x y z", "a", 1), (2, "q", "b", 2)], "doc_id long, text string, _weft_decon string, _weft_row int")
+    assert [tuple(r) for r in decontaminate.stage(spark, docs, str(tmp_path)).collect()] == [(2, "q", "b", 2)]
+    out = decontaminate.annotate(docs, spark.createDataFrame([(1, "x y z"), (2, "p q")], "item_id long, text string"), into="_weft_decon", block_words=1)
+    assert out.columns == ["doc_id", "text", "_weft_decon", "_weft_row", "_weft_decon_"] and out.where("_weft_decon_.contaminated").count() == 1
+
+
 def test_license_rules_against_brute_force():
     """Every subsequence of known sentences, by hand: a rule matches where its identifiers follow one another within the gap."""
     scanner = licenses.Scanner({"a": "alpha one.", "b": "beta two.", "c": "gamma three."}, (("AB", ("a", "b")), ("ABC", ("a", "b", "c")), ("C", ("c",))), gap=1)

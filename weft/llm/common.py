@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weft.functions.shared import fresh_path
+from weft.operators.stats import numbered  # noqa: F401
 
 #: Java regexes of the two word rules; both leave every non-ASCII character inside words.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -39,15 +40,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def numbered(df: DataFrame, order: list[Column], into: str) -> DataFrame:
-    """df with ``into``: 0, 1, ... in the order of the columns ``order``, by a distributed sort and the row counts of its parts."""
-    rows = materialize(df.orderBy(*order).withColumn(into, F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright(F.col(into), 33)
-    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row per part of the sort
-    starts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
-    return rows.join(starts, part == F.col("_part")).withColumn(into, F.col("_start") + F.col(into).bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_start")
-
-
 def before(df: DataFrame, keys: list[str], at: str, value: str, into: str, width: int = 4096) -> DataFrame:
     """df(keys, at, value) with ``into``: the sum of value over smaller ``at`` of the same keys. ``at`` holds whole numbers from 0;
     sums of ``width`` of them go first, so that a key of very many is no one task."""

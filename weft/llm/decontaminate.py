@@ -6,12 +6,13 @@ one rarest shingle: a document that holds the window holds that shingle. Each oc
 the windows that have it as prefix; the positional bound fixes where the window would begin, the length bound drops what
 would run over either end, and the words in between are compared one by one.
 
-Items are handled in blocks of at most ``block_words`` words, so that an index has a proven size whatever the benchmark's;
+Items are handled in blocks of about ``block_words`` words (a longer item is a block), some 100 MB of index, whatever the benchmark's size;
 with several blocks each reads all documents and their hits are merged by row. An item is never cut.
 
 Defined cases: null and empty texts have no words and are not contaminated; items without words, or with a null item_id,
 are left out; repeated items count once; repeated documents are judged one by one; an empty benchmark marks nothing; columns
-of docs stay as they are, whatever their names: the result is one more column, a struct named by ``into``.
+of docs stay as they are, whatever their names: the result is one more column, a struct named by ``into`` (with underscores behind
+it, where docs has that name already).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.llm.common import WORD_TABLE, materialize, read_table
+from weft.llm.common import WORD_TABLE, free_name, materialize, read_table
 
 RESULT = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
@@ -148,9 +149,9 @@ def _rarity(docs: DataFrame, index) -> dict[tuple[int, int], int]:
     return {(r["k"], r["key"] & 0xFFFFFFFFFFFFFFFF): r["n"] for r in rows.collect()}  # at most one row per shingle of the block
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, into: str = "_decon", window: int = 13, shingle: int = 3, block_words: int = 2_000_000) -> DataFrame:
+def annotate(docs: DataFrame, benchmark: DataFrame, into: str = "_decon", window: int = 13, shingle: int = 3, block_words: int = 200_000) -> DataFrame:
     """docs with a struct column ``into``: n_words, n_hit, n_items, items_sha256, contaminated."""
-    spark = docs.sparkSession
+    spark, into, number = docs.sparkSession, free_name(docs, into), free_name(docs, "_weft_row")
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-size // (block_words * 4)))  # a word with its blank has over four characters in running text
@@ -178,15 +179,15 @@ def annotate(docs: DataFrame, benchmark: DataFrame, into: str = "_decon", window
             for batch in batches:
                 found = [index.value.find(t) for t in _texts(batch)]
                 own = pa.array([{"n_words": n, "spans": [x for s in sorted(set(spans)) for x in s], "items": sorted(its)} for n, spans, its in found], kind)
-                yield pa.RecordBatch.from_arrays([batch.column(0), own], names=["_weft_row", "hits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), own], names=[number, "hits"])
 
         return run
 
     if n_blocks == 1:
         return docs.mapInArrow(judged(block(0)), T.StructType([*docs.schema.fields, T.StructField(into, RESULT)]))
-    rows = materialize(docs.withColumn("_weft_row", F.monotonically_increasing_id()), "decon-rows")
-    schema = T.StructType([T.StructField("_weft_row", T.LongType()), T.StructField("hits", HITS)])
-    every = [rows.select("_weft_row", "text").mapInArrow(hits(block(b)), schema) for b in range(n_blocks)]
+    rows = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "decon-rows")
+    schema = T.StructType([T.StructField(number, T.LongType()), T.StructField("hits", HITS)])
+    every = [rows.select(number, "text").mapInArrow(hits(block(b)), schema) for b in range(n_blocks)]
     found = every[0]
     for more in every[1:]:
         found = found.unionByName(more)
@@ -197,10 +198,10 @@ def annotate(docs: DataFrame, benchmark: DataFrame, into: str = "_decon", window
             for parts in batch.column(1).to_pylist():
                 spans = [x for p in parts for x in zip(p["spans"][::2], p["spans"][1::2], strict=True)]
                 out.append(_verdict(parts[0]["n_words"], spans, {i for p in parts for i in p["items"]}))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]))], names=["_weft_row", into])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]))], names=[number, into])
 
-    whole = found.groupBy("_weft_row").agg(F.collect_list("hits").alias("parts")).mapInArrow(merged, T.StructType([T.StructField("_weft_row", T.LongType()), T.StructField(into, RESULT)]))
-    return rows.join(whole, "_weft_row").drop("_weft_row")
+    whole = found.groupBy(number).agg(F.collect_list("hits").alias("parts")).mapInArrow(merged, T.StructType([T.StructField(number, T.LongType()), T.StructField(into, RESULT)]))
+    return rows.join(whole, number).drop(number)
 
 
 #: Brute force: every 13-word window of every document against every window of every item.
@@ -228,5 +229,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's filter: contaminated documents go."""
-    out = annotate(docs, read_table(spark, sf_dir, "benchmark"), into="_weft_decon")
-    return out.where("not _weft_decon.contaminated").select(*docs.columns)
+    into = free_name(docs, "_weft_decon")
+    out = annotate(docs, read_table(spark, sf_dir, "benchmark"), into=into)
+    return out.where(~F.col(into)["contaminated"]).select(*[f"`{c}`" for c in docs.columns])

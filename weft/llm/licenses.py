@@ -15,6 +15,7 @@ gives no rows; columns of docs stay as they are: the result is one more column,
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pyarrow as pa
@@ -37,7 +38,14 @@ SENTENCES = {
     "apache2-copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "apache2-as-is": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "gpl3-work": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl3-or-later": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl2-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;",
+    "gpl2-version": "either version 2 of the License, or (at your option) any later version.",
+    "gpl2-only": "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "lgpl21-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;",
+    "lgpl21-version": "either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-or-later": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl3-or-later": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
     "gpl-implied": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "gpl-details": "See the GNU General Public License for more details.",
@@ -49,6 +57,12 @@ SENTENCES = {
     "cc-by-4": "Licensed under CC BY 4.0.",
     "cc-by-sa-4": "Licensed under CC BY-SA 4.0.",
     "cc0": "To the extent possible under law, the author has waived all copyright and related rights to this work.",
+    "mpl2-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
+    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "epl2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "bsl1": "Distributed under the Boost Software License, Version 1.0.",
     "all-rights": "All rights reserved.",
 }
 #: Ordered rules, by license expression.
@@ -60,8 +74,21 @@ RULES = (
     ("Apache-2.0", ("apache2-the-license", "apache2-compliance", "apache2-copy", "apache2-as-is")),
     ("Apache-2.0", ("apache2-licensed",)),
     ("GPL-3.0-only", ("gpl3-work",)),
-    ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-implied", "gpl-details")),
-    ("GPL-3.0-or-later", ("gpl-free",)),
+    ("GPL-3.0-or-later", ("gpl3-or-later", "gpl-hope", "gpl-implied", "gpl-details")),
+    ("GPL-3.0-or-later", ("gpl3-or-later",)),
+    ("GPL-2.0-or-later", ("gpl2-terms", "gpl2-version", "gpl-hope", "gpl-implied", "gpl-details")),
+    ("GPL-2.0-or-later", ("gpl2-terms", "gpl2-version")),
+    ("GPL-2.0-only", ("gpl2-only",)),
+    ("LGPL-2.1-or-later", ("lgpl21-terms", "lgpl21-version")),
+    ("LGPL-3.0-or-later", ("lgpl3-or-later",)),
+    ("AGPL-3.0-or-later", ("agpl3-or-later",)),
+    ("MPL-2.0", ("mpl2-subject", "mpl2-copy")),
+    ("MPL-2.0", ("mpl2-subject",)),
+    ("ISC", ("isc-grant",)),
+    ("Unlicense", ("unlicense",)),
+    ("EPL-2.0", ("epl2",)),
+    ("BSL-1.0", ("bsl1",)),
+    ("LicenseRef-all-rights-reserved", ("all-rights",)),
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
     ("CC-BY-NC-4.0", ("cc-by-nc-4",)),
@@ -132,11 +159,11 @@ class Scanner:
                 at = self.match(found, i, rule)
                 if at is not None:
                     matches.append((-len(rule), found[i][1], name, found[at][2]))
-        taken: list[tuple[int, int, str]] = []
+        taken: list[tuple[int, int, str]] = []  # in order and apart, so that only the neighbours of a place can overlap it
         for _, start, name, end in sorted(matches):
-            if all(end <= a or start >= b for a, b, _ in taken):
-                taken.append((start, end, name))
-        taken.sort()
+            at = bisect.bisect_left(taken, (start, end, ""))
+            if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+                taken.insert(at, (start, end, name))
         return {
             "n_known": len(found), "sentence_ids": ",".join(f[3] for f in found), "licenses": ",".join(sorted({n for _, _, n in taken})), "n_matches": len(taken),
             "first_start": taken[0][0] if taken else -1, "last_end": max((b for _, b, _ in taken), default=-1),
@@ -147,8 +174,14 @@ class Scanner:
         if found[i][3] != rule[0]:
             return None
         for want in rule[1:]:
-            i = next((j for j in range(i + 1, len(found)) if found[j][0] - found[i][0] <= self.gap + 1 and found[j][1] >= found[i][2] and found[j][3] == want), None)
-            if i is None:
+            number, end = found[i][0], found[i][2]
+            for j in range(i + 1, len(found)):
+                if found[j][0] - number > self.gap + 1:
+                    return None
+                if found[j][1] >= end and found[j][3] == want:
+                    i = j
+                    break
+            else:
                 return None
         return i
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import NON_SPACE, SPACE, broadcast_if_small, empty_text, let, materialize, read_table
+from weft.llm.common import NON_SPACE, SPACE, broadcast_if_small, empty_text, free_name, let, materialize, read_table
 
 UNITS = r"[\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}\s]+"
 WINDOW = 5
@@ -112,5 +112,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's filter: rejected documents go, the others keep the columns of documents."""
-    out = assess(docs, fit(docs, trusted_from_labels(read_table(spark, sf_dir, "labels"))), into="_weft_quality")
-    return out.where("_weft_quality.kept").select(*docs.columns)
+    into = free_name(docs, "_weft_quality")
+    out = assess(docs, fit(docs, trusted_from_labels(read_table(spark, sf_dir, "labels"))), into=into)
+    return out.where(F.col(into)["kept"]).select(*[f"`{c}`" for c in docs.columns])
