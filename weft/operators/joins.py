@@ -32,17 +32,18 @@ def to_spine(spine: DataFrame, data: DataFrame, on: list[str], fill: dict[str, o
 def nearest(left: DataFrame, right: DataFrame, within: list[str], lid: str, rid: str, lx: str, ly: str, rx: str, ry: str, per_cell: float = 4.0) -> DataFrame:
     """(lid, nearest, d2): the nearest right row in the same group, ties by id; left rows without one are left out.
 
-    Both sides are dealt to square cells that hold some ``per_cell`` right rows. A left row sees its cell and the eight around it: what is
+    Both sides are dealt to square cells that hold some ``per_cell`` right rows of a group. A left row sees its cell and the eight around it: what is
     nearer than a cell's width is found for certain. Rows that found nothing so near go on with cells twice as wide, until a
     cell is as wide as everything. So a row meets a few right rows, not all of its group.
     """
     edge = lambda df, x, y: df.agg(F.count("*").alias("n"), F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
     of_left, of_right = edge(left, lx, ly), edge(right, rx, ry)
+    groups = right.agg(F.approx_count_distinct(F.struct(*within))).first()[0] if within else 1
     none = left.sparkSession.createDataFrame([], left.select(lid).schema.add("nearest", right.schema[rid].dataType).add("d2", "double"))
     if not of_left["n"] or not of_right["n"]:
         return none
     spread = [max(of_left[c + "1"], of_right[c + "1"]) - min(of_left[c + "0"], of_right[c + "0"]) for c in "xy"]
-    width = max(max(spread) * (per_cell / of_right["n"]) ** 0.5, max(spread) * 1e-6, 1e-9)
+    width = max(max(spread) * (per_cell * max(groups, 1) / of_right["n"]) ** 0.5, max(spread) * 1e-6, 1e-9)
     base = [F.lit(float(min(of_left[c], of_right[c]))) for c in ("x0", "y0")]
     cell = lambda df, x, y: df.withColumn("_cx", F.floor((F.col(x) - base[0]) / width)).withColumn("_cy", F.floor((F.col(y) - base[1]) / width))
     near = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
