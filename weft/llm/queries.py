@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.llm import chat, decontaminate, language_model, licenses, mixing, near_dup, quality, suffix_dedup, toxicity, url_filter
+from weft.llm import chat, decontaminate, language_model, licenses, mixing, near_dup, quality, spelling, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scans": licenses.query,
     "op9_source_mixing": mixing.query,
     "op10_url_filters": url_filter.query,
+    "op12_spelling_variants": spelling.query,
 }
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.ORACLE,
