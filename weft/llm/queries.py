@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.llm import chat, decontaminate, language_model, licenses, mixing, near_dup, quality, spelling, suffix_dedup, toxicity, url_filter
+from weft.llm import chat, code_compression, decontaminate, language_model, licenses, mixing, near_dup, posting_lists, quality, spelling, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_license_scans": licenses.query,
     "op9_source_mixing": mixing.query,
     "op10_url_filters": url_filter.query,
+    "op11_vector_code_compression": code_compression.query,
     "op12_spelling_variants": spelling.query,
+    "op13_nearest_neighbours": posting_lists.query,
 }
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.ORACLE,
@@ -24,4 +26,5 @@ ORACLE_SQL = {
     "op7_minhash_near_dedup": near_dup.ORACLE,
     "op9_source_mixing": mixing.ORACLE,
     "op10_url_filters": url_filter.oracle(),
+    "op11_vector_code_compression": code_compression.oracle(),
 }
