@@ -78,9 +78,3 @@ def simpson_weight(k, n, step) -> Column:
 def utc(ts, zone: str) -> Column:
     """A local wall clock as naive UTC."""
     return F.to_utc_timestamp(col(ts), zone).cast("timestamp_ntz")
-
-
-def exponential_lag(values, alpha: float) -> Column:
-    """y[k] = y[k-1] + alpha * (x[k] - y[k-1]) over an ordered array, from y = x[0]: the last state."""
-    x = col(values)
-    return F.aggregate(x, F.element_at(x, 1).cast("double"), lambda y, v: y + alpha * (v - y))

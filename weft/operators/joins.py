@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weft.functions.shared import materialize
+from weft.operators.polygons import nearest_shape
 
 
 def both_ends(edges: DataFrame, nodes: DataFrame, a: str, b: str, key: str, take: list[str]) -> DataFrame:
@@ -29,58 +29,10 @@ def to_spine(spine: DataFrame, data: DataFrame, on: list[str], fill: dict[str, o
     return spine.join(data, on, "left").fillna(fill) if fill else spine.join(data, on, "left")
 
 
-def nearest(left: DataFrame, right: DataFrame, within: list[str], lid: str, rid: str, lx: str, ly: str, rx: str, ry: str, per_cell: float = 4.0) -> DataFrame:
-    """(lid, nearest, d2): the nearest right row in the same group, ties by id; left rows without one are left out.
-
-    Both sides are dealt to square cells that hold some ``per_cell`` right rows of a group. A left row sees its cell and the eight around it: what is
-    nearer than a cell's width is found for certain. Rows that found nothing so near go on with cells twice as wide, until a
-    cell is as wide as everything. So a row meets a few right rows, not all of its group.
-    """
-    edge = lambda df, x, y: df.agg(F.count("*").alias("n"), F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
-    of_left, of_right = edge(left, lx, ly), edge(right, rx, ry)
-    groups = right.agg(F.approx_count_distinct(F.struct(*within))).first()[0] if within else 1
-    none = left.sparkSession.createDataFrame([], left.select(lid).schema.add("nearest", right.schema[rid].dataType).add("d2", "double"))
-    if not of_left["n"] or not of_right["n"]:
-        return none
-    spread = [max(of_left[c + "1"], of_right[c + "1"]) - min(of_left[c + "0"], of_right[c + "0"]) for c in "xy"]
-    width = max(max(spread) * (per_cell * max(groups, 1) / of_right["n"]) ** 0.5, max(spread) * 1e-6, 1e-9)
-    base = [F.lit(float(min(of_left[c], of_right[c]))) for c in ("x0", "y0")]
-    cell = lambda df, x, y: df.withColumn("_cx", F.floor((F.col(x) - base[0]) / width)).withColumn("_cy", F.floor((F.col(y) - base[1]) / width))
-    near = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    keys, out, todo = [*within, "_cx", "_cy"], None, left.select(*within, lid, lx, ly)
-    while True:
-        around = cell(todo, lx, ly).withColumn("_o", F.explode(F.array(*near)))
-        around = around.withColumn("_cx", F.col("_cx") + F.col("_o.i")).withColumn("_cy", F.col("_cy") + F.col("_o.j")).drop("_o")
-        met = around.join(cell(right.select(*within, rid, rx, ry), rx, ry), keys)
-        d2 = F.pow(F.col(lx) - F.col(rx), F.lit(2)) + F.pow(F.col(ly) - F.col(ry), F.lit(2))
-        found = met.withColumn("_d2", d2).groupBy(lid).agg(F.min_by(rid, F.struct("_d2", rid)).alias("nearest"), F.min("_d2").alias("d2"))
-        last = width > max(spread)
-        found = materialize(found if last else found.where(F.col("d2") < width * width), "nearest")
-        out = found if out is None else out.union(found)
-        todo = materialize(todo.join(found, lid, "left_anti"), "not-yet-near")
-        if last or todo.isEmpty():
-            return out
-        width *= 2
-
-
-def ring_contains(ring: Column, x: Column, y: Column) -> Column:
-    """Ray casting over array<struct<x, y>>, the last point joined to the first."""
-    n = F.size(ring)
-
-    def crosses(i: Column) -> Column:
-        p, q = F.get(ring, i), F.get(ring, (i + 1) % n)
-        over = (p["y"] > y) != (q["y"] > y)
-        return over & (x < (q["x"] - p["x"]) * (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) + p["x"])
-
-    return F.size(F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(crosses(i), F.lit(False)))) % 2 == 1
-
-
-def point_in_polygon(points: DataFrame, polygons: DataFrame, within: list[str], pid: str, gid: str, ring: str) -> DataFrame:
-    """(pid, gid) of the first polygon of the same group that holds the point; bounding boxes go first."""
-    box = polygons.withColumn("_x0", F.array_min(F.transform(ring, lambda p: p["x"]))).withColumn("_x1", F.array_max(F.transform(ring, lambda p: p["x"])))
-    box = box.withColumn("_y0", F.array_min(F.transform(ring, lambda p: p["y"]))).withColumn("_y1", F.array_max(F.transform(ring, lambda p: p["y"])))
-    hit = points.join(box, within).where("x between _x0 and _x1 and y between _y0 and _y1").where(ring_contains(F.col(ring), F.col("x"), F.col("y")))
-    return hit.groupBy(pid).agg(F.min(gid).alias(gid))
+def nearest(left: DataFrame, right: DataFrame, within: list[str], lid: str, rid: str, lx: str, ly: str, rx: str, ry: str, **options) -> DataFrame:
+    """(lid, nearest, d2): the nearest right row in the same group, ties by id; left rows without one are left out. Points are shapes without extent."""
+    shapes = right.select(*within, F.col(rid).alias("nearest"), F.col(rx).alias("x0"), F.col(ry).alias("y0"), F.col(rx).alias("x1"), F.col(ry).alias("y1"))
+    return nearest_shape(left, shapes, within, lid, "nearest", lx, ly, **options)
 
 
 def bracket(df: DataFrame, grid: DataFrame, by: list[str], at: str, x: str, y: str) -> DataFrame:

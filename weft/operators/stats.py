@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weft.functions.shared import materialize
-
 from weft.functions.columns import col
+from weft.functions.shared import materialize
+from weft.operators.selection import weighted_quantile  # noqa: F401
 
 
 def weighted_mean(x, w) -> Column:
@@ -39,13 +39,6 @@ def cumulative(df: DataFrame, by: list[str], order: list, w: str) -> DataFrame:
     return df.withColumn("cum", F.sum(w).over(window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum(w).over(window))
 
 
-def weighted_quantile(df: DataFrame, by: list[str], x: str, w: str, q_num: int, q_den: int) -> DataFrame:
-    """Per group the smallest x whose cumulative weight share reaches q_num / q_den, by integer weights; equal x are one step."""
-    steps = df.groupBy(*by, x).agg(F.sum(w).alias("_w"))
-    found = cumulative(steps, by, [F.col(x)], "_w").where(F.col("cum") * q_den >= F.col("total") * q_num)
-    return found.groupBy(*by).agg(F.min(x).alias("quantile"))
-
-
 def duration_curve(df: DataFrame, by: list[str], x: str, w: str, ties: list[str]) -> DataFrame:
     """Cumulative weight share in descending order of x."""
     return cumulative(df, by, [F.col(x).desc(), *ties], w).withColumn("share", F.col("cum") / F.col("total"))

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from weft.operators import measures as M
 from weft.operators import stats as S
+from weft.operators.selection import percentiles
 from weft.plans.fixtures import ES, HR, NE, NP, RD, SN, edge_series, hourly, nation_edge, node_price, query, readings, snapshots, t
 
 
@@ -66,8 +67,8 @@ def a08(s, d):
 
 @query("a09_quantiles", f"WITH {ES} SELECT region_a, round(quantile_cont(dp, 0.5), 4) AS q50, round(quantile_cont(dp, 0.9), 4) AS q90, round(quantile_cont(dp, 0.99), 4) AS q99 FROM es GROUP BY 1")
 def a09(s, d):
-    q = F.percentile("dp", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    return edge_series(s, d).groupBy("region_a").agg(q.alias("q")).select("region_a", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q50", "q90", "q99"))])
+    rows = percentiles(edge_series(s, d), ["region_a"], "dp", [0.5, 0.9, 0.99])
+    return rows.select("region_a", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q50", "q90", "q99"))])
 
 
 @query("a10_pivot", """SELECT c_nationkey::BIGINT AS nation, """ + ", ".join(f"(count(*) FILTER (c_mktsegment = '{m}'))::BIGINT AS \"{m}\"" for m in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " FROM customer GROUP BY 1")

@@ -83,15 +83,6 @@ def j09(s, d):
     return J.nearest(clients(s, d), places(s, d), ["nation"], "c_custkey", "s_suppkey", "cx", "cy", "x", "y").select("c_custkey", "nearest", F.col("d2").cast("long").alias("d2"))
 
 
-@query("j10_point_in_polygon", f"WITH {CU} SELECT c_custkey, CASE WHEN cx + cy < 60 THEN 1 ELSE 2 END::BIGINT AS zone FROM cu WHERE (cx + cy < 60) OR (cx > 50 AND cy > 30 AND cx < 90 AND cy < 80)")
-def j10(s, d):
-    ring = lambda *p: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in p])
-    shapes = s.range(1).select(F.lit(1).cast("long").alias("zone"), ring((-1, -1), (61, -1), (-1, 61)).alias("ring")).unionByName(s.range(1).select(F.lit(2).cast("long").alias("zone"), ring((50.5, 30.5), (89.5, 30.5), (89.5, 79.5), (50.5, 79.5)).alias("ring")))
-    shapes = shapes.withColumn("g", F.lit(0))
-    points = clients(s, d).select("c_custkey", F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"), F.lit(0).alias("g"))
-    return J.point_in_polygon(points, F.broadcast(shapes), ["g"], "c_custkey", "zone", "ring")
-
-
 @query("j12_semi_join", f"WITH {NP} SELECT month, nation, price FROM np WHERE month IN (SELECT month FROM np GROUP BY 1 HAVING sum(weight) > 190) AND nation IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 def j12(s, d):
     np = node_price(s, d)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weft.operators import allocation as A
 from weft.operators import measures as M
 from weft.operators import stats as S
 from weft.operators.kernels import dynamics as D
@@ -96,29 +97,34 @@ def o05(s, d):
     return need.join(F.broadcast(g), F.col("need") > F.col("before")).select("month", "g", F.greatest(F.lit(0), F.least("cap", F.col("need") - F.col("before"))).cast("long").alias("mw"))
 
 
-@query("o06_water_fill", None)
+@query("o06_water_fill", """WITH u AS (SELECT s_nationkey::BIGINT AS nation, s_suppkey, greatest(round(s_acctbal * 100)::BIGINT, 0) AS cap, 1 + s_suppkey % 5 AS w FROM supplier), tt AS (SELECT nation, sum(cap)::BIGINT * 6 // 10 AS total FROM u GROUP BY 1),
+st AS (SELECT nation, cap / w::DOUBLE AS brk, sum(cap) AS cap, sum(w) AS w FROM u GROUP BY 1, 2), c AS (SELECT *, coalesce(sum(cap) OVER (PARTITION BY nation ORDER BY brk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(w) OVER (PARTITION BY nation ORDER BY brk DESC) AS rest FROM st),
+l1 AS (SELECT nation, arg_min(level, brk) AS level FROM (SELECT nation, brk, (total - below)::DOUBLE / rest AS level FROM c JOIN tt USING (nation)) WHERE level <= brk GROUP BY 1)
+SELECT nation, s_suppkey, round(CASE WHEN total <= 0 THEN 0 ELSE least(cap, coalesce(level, 1e300) * w) END, 4) AS mw FROM u JOIN tt USING (nation) LEFT JOIN l1 USING (nation)""")
 def o06(s, d):
-    rows = t(s, d, "supplier").select(F.col("s_nationkey").cast("long").alias("nation"), "s_suppkey", F.greatest("s_acctbal", F.lit(0.0)).alias("cap"))
+    u = t(s, d, "supplier").select(F.col("s_nationkey").cast("long").alias("nation"), "s_suppkey", F.greatest(F.round(F.col("s_acctbal") * 100).cast("long"), F.lit(0)).alias("cap"), (1 + F.col("s_suppkey") % 5).alias("w"))
+    totals = u.groupBy("nation").agg(F.expr("sum(cap) * 6 div 10").alias("total"))
+    return A.water_fill(u, totals, ["nation"], "cap", "w", "total", "mw").select("nation", "s_suppkey", F.round("mw", 4).alias("mw"))
 
-    def run(key, pdf):
-        pdf = pdf.sort_values("s_suppkey")
-        cap = pdf["cap"].to_numpy()
-        return pd.DataFrame({"nation": key[0], "s_suppkey": pdf["s_suppkey"], "mw": P.water_fill(0.6 * cap.sum(), cap, np.ones(len(cap)))})
 
-    return rows.groupBy("nation").applyInPandas(run, "nation long, s_suppkey long, mw double").withColumn("mw", F.round("mw", 6))
+def _narrowed(rounds: int, sections: int) -> str:
+    """SQL that narrows (kind, low, high) round by round, as calibrate does."""
+    steps = []
+    for k in range(rounds):
+        at = f"low + (high - low) * (j / {sections}.0::DOUBLE)"
+        steps.append(f"""r{k + 1} AS MATERIALIZED (SELECT kind, low + (high - low) * (n / {sections}.0::DOUBLE) AS low, low + (high - low) * ((n + 1) / {sections}.0::DOUBLE) AS high FROM (
+  SELECT kind, low, high, count(*) FILTER (f < 0.5) AS n FROM (SELECT kind, low, high, j, avg(least(greatest((pow(({at}) * speed, 3) - 27) / 1701, 0), 1)) AS f FROM h JOIN r{k} USING (kind), range(1, {sections}) x(j) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3))""")
+    return ", ".join(steps)
 
 
-@query("o07_calibration", None)
+@query("o07_calibration", f"""WITH {HR}, h AS MATERIALIZED (SELECT kind, v / n / 4000 AS speed FROM hr), e AS MATERIALIZED (SELECT kind, avg(least(greatest((pow(0.5 * speed, 3) - 27) / 1701, 0), 1)) AS a, avg(least(greatest((pow(3.0 * speed, 3) - 27) / 1701, 0), 1)) AS b FROM h GROUP BY 1),
+r0 AS (SELECT kind, 0.5::DOUBLE AS low, 3.0::DOUBLE AS high FROM e WHERE a < 0.5 AND b > 0.5), {_narrowed(8, 32)}
+SELECT kind, round(CASE WHEN a >= 0.5 THEN 0.5 WHEN b <= 0.5 THEN 3.0 ELSE (low + high) / 2 END, 6) AS scale, low IS NULL AS clipped FROM e LEFT JOIN r8 USING (kind)""")
 def o07(s, d):
     h = hourly(s, d).select("kind", (F.col("v") / F.col("n") / 4000).alias("speed"))
-
-    def run(key, pdf):
-        v = pdf["speed"].to_numpy()
-        cf = lambda k: np.clip(((k * v) ** 3 - 27) / (1728 - 27), 0, 1).mean()
-        k, clipped = P.bisect(cf, 0.5, 0.5, 3.0)
-        return pd.DataFrame({"kind": [key[0]], "scale": [k], "clipped": [clipped]})
-
-    return h.groupBy("kind").applyInPandas(run, "kind string, scale double, clipped boolean").withColumn("scale", F.round("scale", 6))
+    goals = h.select("kind").distinct().select("kind", F.lit(0.5).alias("goal"), F.lit(0.5).alias("low"), F.lit(3.0).alias("high"))
+    power = lambda k: F.least(F.greatest((F.pow(k * F.col("speed"), F.lit(3)) - 27) / 1701, F.lit(0.0)), F.lit(1.0))
+    return A.calibrate(h, goals, ["kind"], power).withColumn("scale", F.round("scale", 6))
 
 
 @query("o08_fleet_to_targets", """WITH f AS (SELECT s_nationkey::BIGINT AS nation, s_suppkey, greatest(round(s_acctbal), 0)::BIGINT AS mw FROM supplier), x AS (SELECT *, sum(mw) OVER (PARTITION BY nation) AS tot FROM f)
@@ -295,53 +301,6 @@ def a21(s, d):
     return cells.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda pdf: run(pdf), "distance long")  # a table of label pairs
 
 
-@query("a26_block_bootstrap", None)
-def a26(s, d):
-    weeks = t(s, d, "orders").groupBy("o_orderpriority", F.expr("extract(YEAROFWEEK FROM o_orderdate) * 100 + weekofyear(o_orderdate)").alias("week")).agg(F.sum("o_totalprice").alias("x"), F.count("*").alias("n"))
-
-    def run(key, pdf):
-        pdf = pdf.sort_values("week")
-        r, low, high = P.block_bootstrap(pdf["x"].to_numpy(), pdf["n"].to_numpy(float), 400, zlib.crc32(key[0].encode()))
-        return pd.DataFrame({"priority": [key[0]], "ratio": [round(r, 4)], "low": [round(low, 4)], "high": [round(high, 4)]})
-
-    return weeks.groupBy("o_orderpriority").applyInPandas(run, "priority string, ratio double, low double, high double")
-
-
-@query("a27_snapshot_bootstrap", None)
-def a27(s, d):
-    rows = edge_series(s, d).groupBy("region_a", "month").agg(S.weighted_mean("dp", "J").alias("x"), F.stddev_pop("dp").alias("sd"))
-
-    def run(key, pdf):
-        pdf = pdf.sort_values("month")
-        m, low, high = P.block_bootstrap(pdf["x"].to_numpy(), np.ones(len(pdf)), 300, int(key[0]))
-        return pd.DataFrame({"region": [key[0]], "mean": [round(m, 4)], "low": [round(low, 4)], "high": [round(high, 4)], "sd": [round(float(pdf["sd"].mean()), 4)], "thin": [len(pdf) < 40]})
-
-    return rows.groupBy("region_a").applyInPandas(run, "region long, mean double, low double, high double, sd double, thin boolean")
-
-
-@query("a55_rank_bootstrap", None)
-def a55(s, d):
-    def run(key, pdf):
-        pdf = pdf.sort_values(["event", "bus"])
-        r, low, high = P.spearman_bootstrap(pdf["x"].to_numpy(float), pdf["bus"].to_numpy(float), 200, zlib.crc32(key[0].encode()))
-        return pd.DataFrame({"config": [key[0]], "rho": [round(r, 6)], "low": [round(low, 6)], "high": [round(high, 6)]})
-
-    return readings(s, d).groupBy("config").applyInPandas(run, "config string, rho double, low double, high double")
-
-
-@query("j11_polygon_overlay", None)
-def j11(s, d):
-    cells = t(s, d, "supplier").select(F.col("s_nationkey").cast("long").alias("nation"), "s_suppkey", (F.col("s_suppkey") * 37 % 8).cast("double").alias("x"), (F.col("s_suppkey") * 53 % 8).cast("double").alias("y"))
-
-    def run(key, pdf):
-        region = np.array([[0, 0], [9, 0], [9, 6], [0, 9]], float)
-        square = lambda x, y: np.array([[x, y], [x + 2, y], [x + 2, y + 2], [x, y + 2]])
-        part = [P.clip_polygon(square(x, y), region) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
-        return pd.DataFrame({"nation": key[0], "s_suppkey": pdf["s_suppkey"], "share": [round(P.area(p) / P.area(region), 9) if len(p) else 0.0 for p in part]})
-
-    return cells.groupBy("nation").applyInPandas(run, "nation long, s_suppkey long, share double")
-
-
 @query("s13_planted_partition", None)
 def s13(s, d):
     def run(key, pdf):

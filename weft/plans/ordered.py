@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from weft.functions import columns as C
 from weft.operators import series as Y
 from weft.operators import stats as S
+from weft.operators.scans import exponential_lag
 from weft.plans.fixtures import ES, HR, NE, NP, RD, edge_series, hourly, nation_edge, node_price, query, readings, t
 
 
@@ -121,11 +122,10 @@ def w16(s, d):
     return r.groupBy("nation").agg(r6(F.max(size)).alias("worst"), F.max_by("month", F.when(F.col("rate").isNotNull(), F.struct(size, F.col("month")))).alias("at"), r6(F.min_by("rate", "month")).alias("first"))
 
 
-@query("w17_exponential_lag", f"""WITH RECURSIVE {NP}, o AS (SELECT nation, price::DOUBLE AS x, row_number() OVER (PARTITION BY nation ORDER BY month) AS k FROM np), y AS (SELECT nation, k, x AS y FROM o WHERE k = 1 UNION ALL SELECT o.nation, o.k, y.y + 0.25 * (o.x - y.y) FROM y JOIN o ON o.nation = y.nation AND o.k = y.k + 1)
-SELECT nation, round(arg_max(y, k), 4) AS state FROM y GROUP BY 1""")
+@query("w17_exponential_lag", f"""WITH RECURSIVE {NP}, o AS (SELECT nation, month, price::DOUBLE AS x, row_number() OVER (PARTITION BY nation ORDER BY month) AS k FROM np), y AS (SELECT nation, k, x AS y FROM o WHERE k = 1 UNION ALL SELECT o.nation, o.k, y.y + 0.25 * (o.x - y.y) FROM y JOIN o ON o.nation = y.nation AND o.k = y.k + 1)
+SELECT nation, month, round(y, 4) AS state FROM y JOIN o USING (nation, k)""")
 def w17(s, d):
-    rows = node_price(s, d).groupBy("nation").agg(F.array_sort(F.collect_list(F.struct("month", "price"))).alias("x"))
-    return rows.select("nation", F.round(C.exponential_lag(F.transform("x", lambda p: p["price"].cast("double")), 0.25), 4).alias("state"))
+    return exponential_lag(node_price(s, d), ["nation"], [F.col("month")], "price", 0.25, "y").select("nation", "month", F.round("y", 4).alias("state"))
 
 
 @query("w18_stratified_draw", """WITH q AS (SELECT quantile_cont(p_retailprice, [0.25, 0.5, 0.75]) AS e FROM part), b AS (SELECT p_partkey, CASE WHEN p_retailprice <= e[1] THEN 0 WHEN p_retailprice <= e[2] THEN 1 WHEN p_retailprice <= e[3] THEN 2 ELSE 3 END AS bin FROM part, q)
