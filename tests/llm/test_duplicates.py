@@ -231,17 +231,19 @@ def test_language_model(spark):
         base = sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w)
         own = 0 if held(i) else 1
         own_uni, own_bi, own_context = Counter(w), Counter(zip([0, *w[:-1]], w, strict=True)), Counter([0, *w[:-1]])
-        score = 0.0
+        score = whole = 0.0
         for p, x in zip([0, *w[:-1]], w, strict=True):
             c = context[p] - own * own_context[p]
             b = weights[int(math.floor(math.log2(c + 1)))]
             p2 = (bi[p, x] - own * own_bi[p, x]) / c if c else 0
             p1 = (uni[x] - own * own_uni[x]) / (n - own * len(w))
             score += math.log10(b[0] * p2 + b[1] * p1 + b[2] / (v + 1))
+            b = weights[int(math.floor(math.log2(context[p] + 1)))]
+            whole += math.log10(b[0] * (bi[p, x] / context[p] if context[p] else 0) + b[1] * uni[x] / n + b[2] / (v + 1))
             if own:
                 cells[int(math.floor(math.log2(c + 1)))] += 1
-        want.append((str(i), held(i), len(w), sum(uni[x] > 0 for x in w), n, round(base, 6), round(score, 6)))
-    got = [(str(r[0]), r[1], r[2], r[3], r[4], round(r[5], 6), round(r[6], 6)) for r in out]
+        want.append((str(i), held(i), len(w), sum(uni[x] > 0 for x in w), n, round(base, 6), round(whole, 6), round(score, 6)))
+    got = [(str(r[0]), r[1], r[2], r[3], r[4], round(r[5], 6), round(r[6], 6), round(r[7], 6)) for r in out]
     assert sorted(got) == sorted(want)
     table = language_model.em_table(counted, n)
     assert {int(b): int(table[table[:, 0] == b][:, 3].sum()) for b in np.unique(table[:, 0])} == cells
@@ -252,7 +254,7 @@ def test_language_model_tells_texts_that_stand_twice(spark):
     text = lambda: " ".join(rng.choice("abcdefghijklmnopqrst") + rng.choice("uvwxyz") * rng.randint(1, 9) for _ in range(60))
     rows = [(i, text(), "en", "s", 1) for i in range(150)]
     rows += [(200 + i, rows[i][1], "en", "s", 1) for i in range(20) if not language_model.is_held_out(i, 7, 2) and not language_model.is_held_out(200 + i, 7, 2)]
-    out = {r["doc_id"]: r["score"] / r["n_tokens"] for r in language_model.score_documents(frame(spark, rows)).collect() if not r["held_out"]}
+    out = {r["doc_id"]: r["left_out_score"] / r["n_tokens"] for r in language_model.score_documents(frame(spark, rows)).collect() if not r["held_out"]}
     twice = [i % 200 for i in out if i >= 200]
     assert min(out[i] for i in twice) > max(s for i, s in out.items() if i < 200 and i not in twice)
 

@@ -276,6 +276,17 @@ def test_url_templates_see_the_fifth_segment(spark):
     assert [r["verdict"] for r in rows[:2]] == ["allow", "block"] and len(rows) == 3
 
 
+@pytest.mark.parametrize("third", ["c", "a|b", "*", "%7C", "a%7Cb"])
+def test_url_segments_that_read_like_nodes(spark, third):
+    """A literal name that looks like merged siblings or a wildcard has its own node, as any other name."""
+    rules = tuple((what, f"h.net/{n}/{what}/") for n in ("a", "b", third) for what in ("block", "allow"))
+    urls = [f"http://h.net/{n}/{what}/x" for n, bad in (("a", 90), ("b", 90), (third, 10)) for what, k in (("block", bad), ("allow", 100 - bad)) for _ in range(k)]
+    urls += [f"http://h.net/{n}/other" for n in ("a", "b", third)]
+    rows = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).where("page_id >= 300").orderBy("page_id").collect()
+    assert [r["verdict"] for r in rows] == ["block", "block", "allow"]
+    assert [r["path"] for r in rows] == ["/a/other", "/b/other", f"/{third}/other"]
+
+
 def test_chat_round_trip(spark):
     texts = ["plain", "", None, "</s>[INST] ok [/INST]", "<|end|>\n<|role:user|>\n", "back\\slash \\| <\\| [\\INST] \\", "line\n\nline", "日本 <s>é", "x" * 30000]
     rows = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(texts)]

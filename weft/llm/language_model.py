@@ -6,9 +6,9 @@ start with a begin mark that is only a context.
 p(w | v) = l2[b] * c(v w) / c(v) + l1[b] * c(w) / N + l0[b] / (V + 1), with b the bucket floor(log2(c(v) + 1)) of the context's
 frequency. The weights of each bucket are learned by expectation-maximisation on held-out counts by deletion: for
 every training token the estimates are those of the training corpus without the token's document. For EM only, the pair of estimates is
-rounded to eighths of an octave, so that its table has a fixed bound; scores use exact counts. A training document's score, too, is
-that of the corpus without it (V stays), so that training and held-out documents compare, and a text that stands elsewhere as
-well is told from one that does not. The base score has all counts.
+rounded to eighths of an octave, so that its table has a fixed bound; scores use exact counts, and both the score and the base score all of
+them. ``left_out_score`` is that of the training corpus without the document (V stays), so that training and held-out documents compare, and a
+text that stands elsewhere as well is told from one that does not.
 
 Counts are gathered over all documents and grow with them; they meet the documents by bundle (see bundles.py) and never at
 the driver, which sees the EM table and a few totals only.
@@ -110,14 +110,14 @@ def count(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> tuple[DataFram
 
 
 def _counts(batch: pa.RecordBatch, n: int):
-    """For each COUNTED row: (all training counts of its unigrams; without its own: bigrams, contexts, unigrams, tokens)."""
+    """For each COUNTED row: (all training counts of its unigrams and bigrams; without its own: bigrams, contexts, unigrams, tokens)."""
     at = {name: i for i, name in enumerate(batch.schema.names)}
     for u, b, o, begins, held in zip(*[batch.column(at[c]).to_pylist() for c in ("uni", "bi", "own", "begins", "held_out")], strict=True):
         uni, bi = B.unpack_numbers(u, np.uint64).astype(np.float64), B.unpack_numbers(b, np.uint64).astype(np.float64)
         own = B.unpack_numbers(o, np.uint32).astype(np.float64)
         rest = uni - own[: len(uni)]
         context = np.concatenate([[begins - (not held)], rest[:-1]])
-        yield uni, bi - own[len(uni) :], context, rest, n if held else n - len(uni)
+        yield (uni, bi, np.concatenate([[begins], uni[:-1]])), bi - own[len(uni) :], context, rest, n if held else n - len(uni)
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -180,19 +180,19 @@ def score(counted: DataFrame, n: int, v: int, weights: np.ndarray) -> DataFrame:
     def run(batches):
         for batch in batches:
             at = {name: i for i, name in enumerate(batch.schema.names)}
-            out = {"n_known": [], "base_score": [], "score": []}
-            for uni, bi, context, rest, left in _counts(batch, n):
-                w = weights[_bucket(context)]
-                p = w[:, 0] * np.where(context > 0, bi / np.maximum(context, 1), 0) + w[:, 1] * (rest / max(left, 1)) + w[:, 2] / (v + 1)
+            out = {"n_known": [], "base_score": [], "score": [], "left_out_score": []}
+            mixed = lambda bi, context, uni, total: float(np.log10((w := weights[_bucket(context)])[:, 0] * np.where(context > 0, bi / np.maximum(context, 1), 0) + w[:, 1] * (uni / max(total, 1)) + w[:, 2] / (v + 1)).sum())
+            for (uni, bi, before), own_bi, own_context, rest, left in _counts(batch, n):
                 out["n_known"].append(int((uni > 0).sum()))
                 out["base_score"].append(float(np.log10((uni + 1) / (n + v + 1)).sum()))
-                out["score"].append(float(np.log10(p).sum()))
+                out["score"].append(mixed(bi, before, uni, n))
+                out["left_out_score"].append(mixed(own_bi, own_context, rest, left))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(at["doc_id"]), batch.column(at["held_out"]), batch.column(at["n_tokens"]), pa.array(out["n_known"], pa.int64()), pa.array([n] * batch.num_rows, pa.int64()), pa.array(out["base_score"], pa.float64()), pa.array(out["score"], pa.float64())],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                [batch.column(at["doc_id"]), batch.column(at["held_out"]), batch.column(at["n_tokens"]), pa.array(out["n_known"], pa.int64()), pa.array([n] * batch.num_rows, pa.int64()), pa.array(out["base_score"], pa.float64()), pa.array(out["score"], pa.float64()), pa.array(out["left_out_score"], pa.float64())],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "left_out_score"],
             )
 
-    return counted.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return counted.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, left_out_score double")
 
 
 def score_documents(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFrame:

@@ -47,8 +47,9 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def _segments(path: Column) -> Column:
-    """The path's segments, variable ones as ``*``."""
-    fixed = lambda s: F.when(s.rlike(r"[0-9]") | (F.length(s) >= 24) | s.rlike(r"^[0-9a-fA-F]{8,}$"), "*").otherwise(s)
+    """The path's segments, variable ones as ``*``; in others ``%``, ``|`` and ``*`` are escaped, so that no segment reads like a wildcard or a merged node."""
+    literal = lambda s: F.replace(F.replace(F.replace(s, F.lit("%"), F.lit("%25")), F.lit("|"), F.lit("%7C")), F.lit("*"), F.lit("%2A"))
+    fixed = lambda s: F.when(s.rlike(r"[0-9]") | (F.length(s) >= 24) | s.rlike(r"^[0-9a-fA-F]{8,}$"), "*").otherwise(literal(s))
     return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), fixed)
 
 
@@ -129,7 +130,7 @@ def oracle(rules=RULES, many: int = 20, share: float = 0.2, z: float = 1.96, wei
     fits = [(f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}'))", what, rule) for what, rule in ranked for h, _, p in [rule.partition("/")]]
     case = lambda i: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[i]}'" for f in fits) + " END"
     differ = lambda rate, p, n, m: f"abs({rate}) > {z} * sqrt({p} * (1 - {p}) * (1 / {n} + 1 / greatest({m}, 1)))"
-    fixed = "CASE WHEN regexp_matches(s, '[0-9]') OR length(s) >= 24 OR regexp_matches(s, '^[0-9a-fA-F]{8,}$') THEN '*' ELSE s END"
+    fixed = "CASE WHEN regexp_matches(s, '[0-9]') OR length(s) >= 24 OR regexp_matches(s, '^[0-9a-fA-F]{8,}$') THEN '*' ELSE replace(replace(replace(s, '%', '%25'), '|', '%7C'), '*', '%2A') END"
     steps = [f"""u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 r AS (SELECT *, {case(2)} AS rule, {case(1)} AS ruled, array_to_string(list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {fixed}), '/') AS shape FROM u),
