@@ -162,12 +162,13 @@ def test_ridge_by_moments():
 
 def test_ridge_query_takes_every_part(spark, tmp_path):
     key = np.arange(1500, 2600)
-    part = pd.DataFrame({"p_partkey": key, "p_name": ["n" * int(k) for k in RNG.integers(3, 30, len(key))], "p_size": RNG.integers(1, 50, len(key)).astype("int32")})
+    part = pd.DataFrame({"p_partkey": key, "p_name": ["n" * int(k) for k in RNG.integers(3, 30, len(key))], "p_size": RNG.integers(1, 50, len(key)).astype("int32"), "p_brand": [f"b{k % 5}" for k in key]})
     part["p_retailprice"] = 900.0 + 7 * part["p_size"] * np.where(key > 2000, -1, 1) + RNG.normal(size=len(key))
     spark.createDataFrame(part).write.parquet(str(tmp_path / "part.parquet"))
     x, y = np.c_[part["p_name"].str.len(), part["p_size"], key % 7].astype(float), part["p_retailprice"].to_numpy()
     want = {a: 1 - ((y - D.cross_validated(x, y, key % 5, a)) ** 2).sum() / ((y - y.mean()) ** 2).sum() for a in (1.0, 10.0, 100.0)}
-    assert {r["alpha"]: r["r2"] for r in catalog.QUERIES["o18_ridge"](spark, str(tmp_path)).collect()} == pytest.approx(want, abs=2e-6)
+    got = {r["alpha"]: r["r2"] for r in catalog.QUERIES["o18_ridge"](spark, str(tmp_path)).where("family = 'without x4' and alpha in (1, 10, 100)").collect()}
+    assert got == pytest.approx(want, abs=2e-6)
 
 
 def test_linear_programs_solve_every_month(spark):

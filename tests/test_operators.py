@@ -114,3 +114,24 @@ def test_global_ranks(spark):
     for r in got:
         places = [k + 1 for k, x in enumerate(order) if x == r["x"]]
         assert r["r"] == sum(places) / len(places)
+
+
+def test_frozen_files(spark, tmp_path):
+    df = spark.range(20).select("id", (F.col("id") * 3).alias("x")).repartition(3)
+    R.freeze(df, str(tmp_path / "a"))
+    assert sorted(tuple(r) for r in R.frozen(spark, str(tmp_path / "a"), "id long, x long").collect()) == [(i, 3 * i) for i in range(20)]
+    part = sorted((tmp_path / "a" / "data").glob("part-*"))[0]
+    part.with_name("." + part.name + ".crc").unlink(missing_ok=True)
+    part.write_text(part.read_text().replace("3", "4", 1))
+    with pytest.raises(ValueError, match=part.name):
+        R.frozen(spark, str(tmp_path / "a"), "id long, x long")
+
+
+def test_geometries(spark, tmp_path):
+    (tmp_path / "g.json").write_text("""{"features": [
+      {"properties": {"id": "p"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [0, 1]], [[0.1, 0.1], [0.2, 0.1], [0.1, 0.2]]]}},
+      {"properties": {"id": "m"}, "geometry": {"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [0, 1]]], [[[5, 5], [6, 5], [5, 6]]]]}},
+      {"properties": {"id": "x"}, "geometry": {"type": "Point", "coordinates": [1, 2]}}, {"properties": {"id": "other"}, "geometry": null}]}""")
+    rows = {r["name"]: r["parts"] for r in R.polygons(spark, str(tmp_path / "g.json"), {"p": "P", "m": "M", "x": "X"}).collect()}
+    assert [len(part) for part in rows["P"]] == [2] and [len(part) for part in rows["M"]] == [1, 1] and rows["X"] == []
+    assert (rows["P"][0][1][1]["x"], rows["M"][1][0][2]["y"]) == (0.2, 6.0)

@@ -41,6 +41,25 @@ def zone_components(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return comps.join(linked, "id", "left").groupBy("zone").agg(F.count_distinct("comp").alias("parts"), F.count_if(F.col("linked").isNull()).alias("isolated"))
 
 
+def anchors(labels: DataFrame, edges: DataFrame, capacity: DataFrame, hosts: DataFrame) -> DataFrame:
+    """One row a zone of labels(id, country, zone): ``anchor`` (from 0 within the country, in order of zones that have nodes of their own), ``capacity`` of its
+    nodes and of nodes attached to them, ``n`` own nodes, ``attached`` ones, ``wrong_host`` (attached nodes whose label is not their host's), ``parts``
+    (components of its own nodes along edges inside it) and ``contiguous``. hosts(id, host): isolated nodes and the node that each is attached to; a
+    zone that lives on attached nodes only has no anchor."""
+    own = labels.join(hosts.select("id"), "id", "left_anti")
+    of_host = labels.select(F.col("id").alias("host"), F.col("zone").alias("host_zone"))
+    tied = labels.join(hosts, "id").join(of_host, "host", "left")
+    caps = labels.join(capacity, "id", "left").select("id", "country", "zone", F.coalesce("cap", F.lit(0)).alias("cap"))
+    at = caps.join(hosts, "id", "left").join(of_host, "host", "left").groupBy("country", F.coalesce("host_zone", "zone").alias("zone")).agg(F.sum("cap").alias("capacity"))
+    zones = own.groupBy("country", "zone").agg(F.count("*").alias("n"))
+    zones = zones.withColumn("anchor", (F.row_number().over(Window.partitionBy("country").orderBy("zone")) - 1).cast("long"))  # a row a zone
+    parts = zone_components(edges.select("a", "b"), own.select("id", "zone")).select("zone", "parts")
+    wrong = tied.groupBy("country", "zone").agg(F.count("*").alias("attached"), F.count_if(~F.col("zone").eqNullSafe(F.col("host_zone"))).alias("wrong_host"))
+    rows = labels.select("country", "zone").distinct().join(zones, ["country", "zone"], "left").join(at, ["country", "zone"], "left").join(parts, "zone", "left").join(wrong, ["country", "zone"], "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.select("country", "zone", "anchor", count("capacity"), count("n"), count("attached"), count("wrong_host"), count("parts"), (F.coalesce("parts", F.lit(0)) == 1).alias("contiguous"))
+
+
 def prune_stubs(edges: DataFrame) -> DataFrame:
     """Drops edges to nodes with a single neighbour until none is left; of two nodes that have only each other the edge stays."""
     while True:
@@ -52,6 +71,34 @@ def prune_stubs(edges: DataFrame) -> DataFrame:
         edges = marked.where("not stub").select(*edges.columns)
 
 
+def drop_islands(edges: DataFrame, nodes: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) without the components of fewer than ``least`` nodes."""
+    comps = components(edges.select("a", "b"), nodes)
+    kept = comps.groupBy("comp").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("comp")
+    left = materialize(nodes.join(comps.join(kept, "comp", "left_semi"), "id", "left_semi"), "mainland")
+    return edges.join(left.select(F.col("id").alias("a")), "a", "left_semi").select(*edges.columns), left
+
+
+def absorb_stubs(edges: DataFrame, nodes: DataFrame, group: str, fixed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) without nodes that have a single neighbour, of the same group, and are none of fixed(id); again and again, as others become such. Of two
+    nodes that have only each other the larger id stays."""
+    edges = materialize(edges, "lines")
+    while True:
+        ends = both_directions(edges.where("a <> b").select("a", "b")).groupBy("a").agg(F.count_distinct("b").alias("k"), F.min("b").alias("b")).where("k = 1")
+        kind = nodes.select("id", group)
+        ends = ends.join(kind.select(F.col("id").alias("a"), F.col(group).alias("_x")), "a").join(kind.select(F.col("id").alias("b"), F.col(group).alias("_y")), "b").where("_x = _y")
+        if fixed is not None:
+            ends = ends.join(fixed.select(F.col("id").alias("a")), "a", "left_anti")
+        other = ends.select(F.col("a").alias("b"), F.col("b").alias("a"), F.lit(True).alias("_both"))
+        gone = materialize(ends.join(other, ["a", "b"], "left").where("_both is null or a < b").select(F.col("a").alias("id")), "stubs")
+        if gone.isEmpty():
+            return edges, nodes
+        nodes = materialize(nodes.join(gone, "id", "left_anti"), "nodes-left")
+        for end in ("a", "b"):
+            edges = edges.join(gone.withColumnRenamed("id", end), end, "left_anti").select(*edges.columns)
+        edges = materialize(edges, "lines")
+
+
 def contract(edges: DataFrame, joins: DataFrame, rank: DataFrame) -> DataFrame:
     """Nodes joined by ``joins`` become their member of highest rank(id, v) (ties: the largest id); self-loops are dropped, parallel edges kept."""
     comps = components(joins).join(rank, "id", "left")
@@ -183,6 +230,13 @@ def spectral_clusters(edges: DataFrame, group: str, w: str, k: int, restarts: in
     return edges.select(group, "a", "b", w).groupBy(group).applyInPandas(run, f"{group} {kind}, id long, cluster long")
 
 
+def zones_by_component(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id, zone) of all nodes(id): contiguous zones around seeds(id, zone), as ``voronoi``; a component without a seed is one zone, named by its smallest id."""
+    comps = materialize(components(edges.select("a", "b"), nodes), "components")
+    bare = comps.join(comps.join(seeds, "id", "left_semi").select("comp").distinct(), "comp", "left_anti")
+    return voronoi(edges, seeds).unionByName(bare.select("id", F.col("comp").cast(dict(seeds.dtypes)["zone"]).alias("zone")))
+
+
 def conductance(edges: DataFrame, labels: DataFrame, w: str) -> DataFrame:
     """(cluster, cut, volume, conductance) for labels(id, cluster)."""
     rows = both_directions(edges, [w]).join(labels.select(F.col("id").alias("a"), F.col("cluster").alias("ca")), "a").join(labels.select(F.col("id").alias("b"), F.col("cluster").alias("cb")), "b")
@@ -192,11 +246,14 @@ def conductance(edges: DataFrame, labels: DataFrame, w: str) -> DataFrame:
 
 
 def representatives(df: DataFrame, key: str, vector: str, n: int, seed: int = 0) -> DataFrame:
-    """(key, weight): the nearest row to each of n k-means centres, with its cluster's size."""
+    """(key, weight): the nearest row to each of n k-means centres, with its cluster's size. Components are scaled to mean 0 and deviation 1 first, so that
+    each counts alike; those that do not vary do not count."""
     from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    x = df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    raw = df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("raw"))
+    x = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(raw).transform(raw)
     model = KMeans(k=n, seed=seed).fit(x)
     centres = F.array(*[F.array(*map(F.lit, map(float, c))) for c in model.clusterCenters()])
     rows = model.transform(x).withColumn("_v", vector_to_array("features")).withColumn("_c", F.get(centres, "prediction"))

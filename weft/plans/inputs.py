@@ -63,15 +63,22 @@ def s06(s, d):
     return R.point_series(s, path, ["wind"])
 
 
-@query("s07_geojson", "SELECT n_nationkey::VARCHAR AS id, 'zone ' || n_nationkey::VARCHAR AS name, 4::BIGINT AS points FROM nation WHERE n_nationkey < 3")
+@query("s07_geojson", """SELECT n_nationkey::VARCHAR AS id, 'zone ' || n_nationkey::VARCHAR AS name, CASE WHEN n_nationkey % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS parts, 2::BIGINT AS holes,
+  CASE WHEN n_nationkey % 3 = 0 THEN 14 ELSE 12 END::BIGINT AS points, CASE WHEN n_nationkey % 3 = 0 THEN 8 ELSE 7 END + n_nationkey::DOUBLE AS most FROM nation WHERE n_nationkey < 12""")
 def s07(s, d):
+    """Polygons with two holes, every third in two parts with a hole each, read back and renamed."""
     path = fresh_path(s, "geojson")
     k = F.col("n_nationkey").cast("double")
-    corner = lambda dx, dy: F.array(k + dx, k + dy)
-    ring = F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)))
-    feature = F.struct(F.struct(F.col("n_nationkey").cast("string").alias("id")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), ring.alias("coordinates")).alias("geometry"))
-    t(s, d, "nation").agg(F.collect_list(feature).alias("features")).write.json(path)  # 25 polygons in one document
-    return R.polygons(s, path, {str(i): f"zone {i}" for i in range(3)}).select("id", "name", F.size("ring").cast("long").alias("points"))
+    ring = lambda *p: F.array(*[F.array(k + x, k + y) for x, y in p])
+    box = lambda x, y, w: ring((x, y), (x + w, y), (x + w, y + w), (x, y + w))
+    hole = lambda x: ring((x, x), (x + 1, x), (x, x + 1))
+    one, two = F.array(box(0, 0, 7), box(1, 1, 1), box(4, 4, 2)), F.array(F.array(box(0, 0, 3), hole(1)), F.array(ring((5, 5), (8, 5), (8, 8), (5, 8)), hole(6)))
+    for kind, shape, rows in (("Polygon", one, "n_nationkey % 3 <> 0"), ("MultiPolygon", two, "n_nationkey % 3 = 0")):
+        feature = F.struct(F.struct(F.col("n_nationkey").cast("string").alias("id")).alias("properties"), F.struct(F.lit(kind).alias("type"), shape.alias("coordinates")).alias("geometry"))
+        t(s, d, "nation").where(rows).agg(F.collect_list(feature).alias("features")).write.json(f"{path}/{kind}")  # a document of some nations
+    found = R.polygons(s, path + "/*", {str(i): f"zone {i}" for i in range(12)})
+    rings = F.flatten("parts")
+    return found.select("id", "name", F.size("parts").cast("long").alias("parts"), (F.size(rings) - F.size("parts")).cast("long").alias("holes"), F.size(F.flatten(rings)).cast("long").alias("points"), F.array_max(F.transform(F.flatten(rings), lambda p: p["x"])).alias("most"))
 
 
 @query("s08_plant_register", """SELECT CASE WHEN p_type LIKE 'PROMO%' THEN 'storage' WHEN p_size % 7 = 0 THEN 'closed' WHEN p_size > 45 THEN 'no place' ELSE 'kept' END AS reason, sum(round(p_retailprice * 100)::BIGINT)::BIGINT AS mw, count(*)::BIGINT AS n FROM part GROUP BY 1""")
@@ -102,9 +109,10 @@ def s10(s, d):
 
 @query("s11_frozen_grid", "SELECT s_suppkey AS bus, (s_suppkey // 10)::BIGINT AS \"row\", (s_suppkey % 10)::BIGINT AS col, sha256(s_suppkey::VARCHAR || ':' || (s_suppkey // 10)::VARCHAR || ':' || (s_suppkey % 10)::VARCHAR) AS sha FROM supplier")
 def s11(s, d):
+    """The grid is frozen with its files' hashes and read again only if they still match."""
     path = fresh_path(s, "grid")
-    t(s, d, "supplier").select(F.col("s_suppkey").alias("bus"), F.expr("s_suppkey div 10").alias("row"), (F.col("s_suppkey") % 10).alias("col")).write.csv(path, header=True)
-    return R.csv(s, path, "bus bigint, row bigint, col bigint").withColumn("sha", F.sha2(F.concat_ws(":", "bus", "row", "col"), 256))
+    R.freeze(t(s, d, "supplier").select(F.col("s_suppkey").alias("bus"), F.expr("s_suppkey div 10").alias("row"), (F.col("s_suppkey") % 10).alias("col")), path)
+    return R.frozen(s, path, "bus bigint, row bigint, col bigint").withColumn("sha", F.sha2(F.concat_ws(":", "bus", "row", "col"), 256))
 
 
 @query("s12_array_tables", "SELECT vec_id, (i - 1)::BIGINT AS i, round(embedding[i]::DOUBLE, 6) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")

@@ -1,4 +1,4 @@
-"""Queries O01-O20, A21, A26, A27, A55, J11, S13: kernels as grouped maps, and the native parts of the scenario layer."""
+"""Queries O01-O20, A21, S13: kernels as grouped maps, and the native parts of the scenario layer."""
 
 from __future__ import annotations
 
@@ -11,11 +11,14 @@ from pyspark.sql.window import Window
 
 from weft.operators import allocation as A
 from weft.operators import measures as M
+from weft.operators import recheck as K
 from weft.operators import stats as S
+from weft.operators.cover import lazy_greedy_cover
+from weft.operators.regression import leave_one_out, moments
 from weft.operators.kernels import dynamics as D
 from weft.operators.kernels import lp
 from weft.operators.kernels import partition as P
-from weft.plans.fixtures import ES, HR, NE, NP, edge_series, hourly, nation_edge, node_price, query, readings, t
+from weft.plans.fixtures import ES, HR, NE, NP, SN, edge_series, hourly, nation_edge, node_price, query, readings, snapshots, t
 
 
 def r6(c):
@@ -190,13 +193,46 @@ def o13(s, d):
     return k.where("(cum - s) * 10 < total * 3 or p >= 0.5").select("a", "b", (F.col("p") >= 0.3).alias("guard"))
 
 
-@query("o14_network_recheck", f"""WITH {NE}, {NP}, i AS (SELECT month, nation, weight AS w FROM np), f AS (SELECT a, b, month, sum(w * ((nation * 31 + a * 7 + b) % 21 - 10))::BIGINT AS flow FROM ne, i WHERE J > 6000 GROUP BY 1, 2, 3) SELECT a, b, max(abs(flow))::BIGINT AS worst, (count(*) FILTER (abs(flow) > 250))::BIGINT AS over FROM f GROUP BY 1, 2""")
+def _greedy(steps: int) -> str:
+    """SQL of a greedy cover, step by step."""
+    out = []
+    for k in range(1, steps + 1):
+        before = " UNION ALL ".join(f"SELECT choice FROM g{j}" for j in range(1, k)) or "SELECT choice FROM c WHERE false"
+        out.append(f"""g{k} AS MATERIALIZED (SELECT {k}::BIGINT AS step, choice, sum(w)::BIGINT AS gain FROM c JOIN it USING (item) WHERE item NOT IN (SELECT item FROM c WHERE choice IN ({before})) GROUP BY choice ORDER BY gain DESC, choice LIMIT 1)""")
+    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT * FROM g{k}" for k in range(1, steps + 1))
+
+
+@query("o13_greedy_repair", f"""WITH {ES}, e AS (SELECT *, 25 * a + b AS choice FROM es WHERE dp > 30000), it AS (SELECT a * 1000 + substr(month, 1, 4)::BIGINT * 12 + substr(month, 6, 2)::BIGINT - 23800 AS item, sum(w)::BIGINT AS w FROM e GROUP BY 1),
+c AS (SELECT DISTINCT choice, x * 1000 + substr(month, 1, 4)::BIGINT * 12 + substr(month, 6, 2)::BIGINT - 23800 AS item FROM (SELECT choice, month, unnest([a, b]) AS x FROM e)), {_greedy(6)}""")
+def o13_repair(s, d):
+    """Anchors added one by one: the edge that covers most of the failing (nation, month) pairs that are still open."""
+    at = F.expr("cast(substr(month, 1, 4) as bigint) * 12 + cast(substr(month, 6, 2) as bigint) - 23800")
+    e = edge_series(s, d).where("dp > 30000").select("a", "b", "w", (F.col("a") * 25 + F.col("b")).alias("choice"), at.alias("at"))
+    items = e.groupBy((F.col("a") * 1000 + F.col("at")).alias("item")).agg(F.sum("w").alias("w"))
+    cover = e.select("choice", F.explode(F.array("a", "b")).alias("x"), "at").select("choice", (F.col("x") * 1000 + F.col("at")).alias("item"))
+    return lazy_greedy_cover(cover, items, 6)
+
+
+@query("o14_network_recheck", f"""WITH {NE}, {NP}, {SN}, tot AS (SELECT n, sum(J)::BIGINT AS tot FROM (SELECT a AS n, J FROM ne UNION ALL SELECT b, J FROM ne) GROUP BY 1),
+se AS (SELECT a * 25 + b AS e, a AS n, J * 1000 // tot AS v FROM ne JOIN tot ON n = a UNION ALL SELECT a * 25 + b, b, -(J * 1000 // tot) FROM ne JOIN tot ON n = b),
+f AS (SELECT e, month, sum(v * (weight - weight * (nation % 4) // 10))::BIGINT AS f FROM se JOIN np ON nation = n GROUP BY 1, 2 HAVING f <> 0), cap AS (SELECT a * 25 + b AS e, 200 + n_lines % 100 AS cap FROM ne),
+en AS (SELECT a * 25 + b AS e, J, unnest([a, b]) AS n FROM ne), lo AS (SELECT x.e AS m, y.e AS k, (x.J * 1000 // (tot - y.J))::DOUBLE / 1000 AS c FROM en x JOIN en y USING (n) JOIN tot USING (n) WHERE x.e <> y.e),
+r AS (SELECT e AS monitor, -1 AS outage, w, abs(f)::DOUBLE / cap AS load FROM f JOIN cap USING (e) JOIN sn USING (month)
+  UNION ALL SELECT m, k, w, abs(x.f + y.f * c) / cap FROM lo JOIN f x ON x.e = m JOIN f y ON y.e = k AND y.month = x.month JOIN cap ON cap.e = m JOIN sn ON sn.month = x.month WHERE c <> 0)
+SELECT monitor, outage::BIGINT AS outage, round(max(load), 6) AS worst, sum(w)::BIGINT AS weight FROM r WHERE load > 1.000001 GROUP BY 1, 2""")
 def o14(s, d):
-    lines = nation_edge(s, d).where("J > 6000").select("a", "b")
-    nodes = t(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("nation"))
-    sens = lines.crossJoin(nodes).withColumn("k", (F.col("nation") * 31 + F.col("a") * 7 + F.col("b")) % 21 - 10)  # lines x nodes: the sensitivity matrix
-    flow = sens.join(node_price(s, d).select("month", "nation", "weight"), "nation").groupBy("a", "b", "month").agg(F.sum(F.col("weight") * F.col("k")).alias("flow"))
-    return flow.groupBy("a", "b").agg(F.max(F.abs("flow")).alias("worst"), F.count_if(F.abs("flow") > 250).alias("over"))
+    """Flows after relief (sensitivities x injections, as a product of blocks) against their limits, intact and with any neighbouring branch out."""
+    e = nation_edge(s, d).withColumn("e", F.col("a") * 25 + F.col("b"))
+    ends = e.select("e", "J", "n_lines", F.posexplode(F.array("a", "b")).alias("side", "n"))
+    ends = ends.join(ends.groupBy("n").agg(F.sum("J").alias("tot")), "n")
+    share = F.expr("J * 1000 div tot")
+    sens = ends.select(F.col("e").alias("i"), F.col("n").alias("k"), F.when(F.col("side") == 0, share).otherwise(-share).alias("v"))
+    np_ = node_price(s, d).select(F.expr("cast(substr(month, 1, 4) as bigint) * 12 + cast(substr(month, 6, 2) as bigint)").alias("j"), F.col("nation").alias("k"), F.expr("weight - weight * (nation % 4) div 10").alias("v"))
+    flows = K.block_product(sens, np_).select(F.col("j").alias("t"), F.col("i").alias("branch"), F.col("v").alias("f"))
+    x, y = ends.select("n", F.col("e").alias("monitor"), F.col("J").alias("Jm"), "tot"), ends.select("n", F.col("e").alias("outage"), F.col("J").alias("Jk"))
+    lodf = x.join(y, "n").where("monitor <> outage").select("monitor", "outage", (F.expr("Jm * 1000 div (tot - Jk)") / 1000).alias("c"))
+    times = snapshots(s, d).select(F.expr("cast(substr(month, 1, 4) as bigint) * 12 + cast(substr(month, 6, 2) as bigint)").alias("t"), "w")
+    return K.recheck(flows, e.select(F.col("e").alias("branch"), (200 + F.col("n_lines") % 100).alias("cap")), lodf, times).withColumn("worst", F.round("worst", 6))
 
 
 def _grid(s, d):
@@ -256,20 +292,32 @@ def o17(s, d):
     return rows.groupBy("a", "b").agg(r6(F.max("sigma")).alias("peak"), F.round(F.max_by("omega", "sigma"), 6).alias("at"))
 
 
-@query("o18_ridge", None)
-def o18(s, d):
-    names = ["x1", "x2", "x3", "y"]
-    x = t(s, d, "part").select((F.col("p_partkey") % 5).alias("fold"), F.length("p_name").cast("double").alias("x1"), (F.col("p_size") * 1.0).alias("x2"), (F.col("p_partkey") % 7).cast("double").alias("x3"), F.col("p_retailprice").alias("y"))
-    pairs = [F.array(*[F.covar_pop(a, b) for b in names]) for a in names]
-    moments = x.groupBy("fold").agg(F.count("*").alias("n"), F.array(*[F.avg(a) for a in names]).alias("mean"), F.flatten(F.array(*pairs)).alias("cov"))  # one row per fold
-    grid = s.range(3).select((F.pow(F.lit(10.0), F.col("id"))).alias("alpha"))
+def _parts(s, d):
+    """(event, x1, x2, x3, x4, y): brands as events."""
+    p = t(s, d, "part")
+    return p.select(F.col("p_brand").alias("event"), F.length("p_name").alias("x1"), F.col("p_size").alias("x2"), (F.col("p_partkey") % 7).alias("x3"), (F.col("p_partkey") % 200).alias("x4"), F.col("p_retailprice").alias("y"))
 
-    def run(key, pdf):
-        pdf = pdf.sort_values("fold")
-        r2 = D.cross_validated_r2(pdf["n"].to_numpy(float), np.stack(pdf["mean"]), np.stack(pdf["cov"]).reshape(-1, len(names), len(names)), key[0])
-        return pd.DataFrame({"alpha": [key[0]], "r2": [round(r2, 6)]})
 
-    return moments.crossJoin(F.broadcast(grid)).groupBy("alpha").applyInPandas(run, "alpha double, r2 double")
+O18 = ["x1", "x2", "x3", "x4"]
+
+
+@query("o18_ridge", None)
+def o18(s, d):
+    """Leave-one-brand-out r2 of all features, of all but one (ablation) and of one that should tell nothing (control), by penalty."""
+    families = {"all": O18, "control": ["x3"]} | {f"without {c}": [x for x in O18 if x != c] for c in O18}
+    rows = leave_one_out(_parts(s, d), "event", O18, "y", families, [0.0, 0.1, 1.0, 10.0, 100.0, 1000.0])
+    return rows.select("family", "alpha", F.round("r2", 6).alias("r2"), "events", "best")
+
+
+@query("o18_moments", """WITH x AS (SELECT p_brand AS event, length(p_name)::DOUBLE AS x1, p_size::DOUBLE AS x2, (p_partkey % 7)::DOUBLE AS x3, (p_partkey % 200)::DOUBLE AS x4, p_retailprice AS y FROM part),
+m AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(x4) AS m4, avg(y) AS m5 FROM x), z AS (SELECT event, [x1 - m1, x2 - m2, x3 - m3, x4 - m4, y - m5] AS z FROM x, m), p AS (SELECT event, z, unnest(range(1, 6)) AS i FROM z), q AS (SELECT event, i, z, unnest(range(i, 6)) AS j FROM p)
+SELECT event, i::BIGINT AS i, j::BIGINT AS j, count(*)::BIGINT AS n, round(sum(z[i] * z[j]), 3) + 0 AS p FROM q GROUP BY 1, 2, 3""")
+def o18_moments(s, d):
+    """Sums of products by brand, one row an entry."""
+    at = [(i + 1, j + 1) for i in range(5) for j in range(i, 5)]
+    names = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i, j in at])
+    rows = moments(_parts(s, d), "event", [*O18, "y"]).select("event", "n", F.inline(F.arrays_zip(names.alias("at"), F.col("p"))))
+    return rows.select("event", "at.i", "at.j", "n", (F.round("p", 3) + 0).alias("p"))
 
 
 @query("o19_scenario_selection", f"""WITH {NP}, st AS (SELECT unnest([20, 10, 5]) AS den), c AS (SELECT *, sum(weight) OVER (PARTITION BY nation ORDER BY price DESC, month) AS cum, sum(weight) OVER (PARTITION BY nation) AS tot FROM np),

@@ -40,12 +40,16 @@ def point_series(spark: SparkSession, path: str, variables: list[str]) -> DataFr
 
 
 def polygons(spark: SparkSession, path: str, names: dict[str, str]) -> DataFrame:
-    """Features of a GeoJSON document: (id, name, ring), outer rings only, kept and renamed by ``names``."""
-    schema = "features array<struct<properties: struct<id: string>, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
+    """Features of GeoJSON documents: (id, parts, name), kept and renamed by ``names``. A Polygon is one part, a MultiPolygon several; a part is its outer
+    ring, then its holes, as operators.polygons takes them. Other geometries have no parts."""
+    schema = "features array<struct<properties: struct<id: string>, geometry: struct<type: string, coordinates: string>>>"
     features = spark.read.json(path, schema=schema, multiLine=True).select(F.explode("features").alias("f"))
-    ring = F.transform(F.col("f.geometry.coordinates")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    kind, raw = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    rings = "array<array<array<double>>>"
+    parts = F.when(kind == "Polygon", F.array(F.from_json(raw, rings))).when(kind == "MultiPolygon", F.from_json(raw, f"array<{rings}>")).otherwise(F.array().cast(f"array<{rings}>"))
+    points = F.transform(parts, lambda part: F.transform(part, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))))
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return features.select(F.col("f.properties.id").alias("id"), ring.alias("ring")).where(F.col("id").isin(*names)).withColumn("name", F.try_element_at(table, F.col("id")))
+    return features.select(F.col("f.properties.id").alias("id"), points.alias("parts")).where(F.col("id").isin(*names)).withColumn("name", F.try_element_at(table, F.col("id")))
 
 
 def verified_files(spark: SparkSession, path: str) -> DataFrame:
@@ -54,6 +58,22 @@ def verified_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
 
 
+def freeze(df: DataFrame, path: str) -> None:
+    """df as CSV under ``path``/data, and a manifest of its files' hashes beside it."""
+    df.write.csv(f"{path}/data", header=True)
+    verified_files(df.sparkSession, f"{path}/data/part-*").select("name", "sha256").write.json(f"{path}/manifest")
+
+
+def frozen(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table that ``freeze`` wrote. Raises ValueError if a file was edited, is missing or has been added since."""
+    want = spark.read.json(f"{path}/manifest", schema="name string, sha256 string").withColumnRenamed("sha256", "want")
+    both = verified_files(spark, f"{path}/data/part-*").select("name", "sha256").join(want, "name", "full_outer")
+    wrong = both.where(~F.col("sha256").eqNullSafe(F.col("want"))).orderBy("name").limit(10).collect()
+    if wrong:
+        raise ValueError(f"files do not match the manifest: {', '.join(r['name'] for r in wrong)}")
+    return csv(spark, f"{path}/data", schema)
+
+
 def hourly_spine(bounds: DataFrame, start: str, end: str, at: str) -> DataFrame:
     return bounds.withColumn(at, F.explode(F.sequence(start, end, F.expr("interval 1 hour"))))
 
