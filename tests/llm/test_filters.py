@@ -416,3 +416,11 @@ def test_whole_numbers_in_order(spark):
 
 def test_schema(spark):
     assert frame(spark, []).schema.simpleString() == "struct<" + DOCS.replace("long", "bigint").replace(" ", ":").replace(",:", ",") + ">"
+
+
+def test_short_lines_are_not_normalised_again_and_again(monkeypatch):
+    """A long text of short lines: what is normalised stays within a few times its length."""
+    scanner, seen, plain = licenses.Scanner(licenses.SENTENCES, licenses.RULES, 2), [], licenses.normalise
+    monkeypatch.setattr(licenses, "normalise", lambda s: seen.append(len(s)) or plain(s))
+    text = "noninfringement\n" + ("abc\n" * 500 + "x.\n") * 40 + licenses.SENTENCES["mit-name"] + "\n"
+    assert scanner.scan(text)["licenses"] == "MIT" and sum(seen) < 4 * len(text)

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import re
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -99,6 +100,8 @@ RULES = (
 _LINE_OR_END = re.compile(r"[^\n]*?(?:[.;:!?](?=\s|$)|\n|$)")
 _END = re.compile(r"(?s).*?(?:[.;:!?](?=\s|$)|\n\s*\n|$)")
 _DROP = re.compile(r"[^0-9a-z\u0080-\U0010ffff]+")
+_WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
+_SOLID = re.compile(r"\S")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _COPYRIGHT = re.compile(r"^(?:copyright|c) .*")
 
@@ -108,15 +111,35 @@ def normalise(sentence: str) -> str:
     return _COPYRIGHT.sub("copyright", words)
 
 
-def sentences(text: str, longest: int) -> list[tuple[int, int, str]]:
-    """(start, end, normalised) of all sentences of the three cuts, in order of start, then end; equal spans once."""
-    spans = {m.span() for cut in (_LINE_OR_END, _END) for m in cut.finditer(text)}
+def heads(known: Iterable[str]) -> set[tuple[str, ...]]:
+    """The first words, three at most, of normalised sentences."""
+    return {tuple(words.split()[:3]) for words in known}
+
+
+def _begins(text: str, at: int, end: int, known: set[tuple[str, ...]]) -> bool:
+    """Whether the text from ``at`` on begins as one of them does."""
+    words: list[str] = []
+    for m in _WORD.finditer(text, at, end):
+        words.append(m.group().translate(_LOWER))
+        if tuple(words) in known or len(words) == 1 and words[0] in ("c", "copyright") and ("copyright",) in known:
+            return True
+        if len(words) == 3:
+            break
+    return False
+
+
+def sentences(text: str, longest: int, known: set[tuple[str, ...]]) -> list[tuple[int, int, str]]:
+    """(start, end, normalised) of all sentences of the three cuts, in order of start, then end; equal spans once. The third cut, from a line's start to the
+    sentence's end, is normalised only at lines that begin as a known sentence does; of others the start alone is kept (end -1, no words)."""
+    spans, found = {m.span() for cut in (_LINE_OR_END, _END) for m in cut.finditer(text)}, set()
     for a, b in [m.span() for m in _END.finditer(text)]:
         at = max(a, b - 4 * longest)
         while 0 <= (at := text.find("\n", at, b)) < b:
             at += 1
-            spans.add((at, b))
-    found = set()
+            if _begins(text, at, b, known):
+                spans.add((at, b))
+            elif _WORD.search(text, at, b):
+                found.add((_SOLID.search(text, at, b).start(), -1, ""))  # counts as a start
     for a, b in spans:
         part = text[a:b]
         if words := normalise(part):
@@ -130,12 +153,12 @@ class Scanner:
         self.ids = {normalise(s): name for name, s in known.items()}
         #: Every known sentence has one of these words: a text without any has none.
         self.cue = re.compile("|".join(map(re.escape, sorted({min(words.split(), key=lambda w: (-len(w), w)) for words in self.ids}))))
-        self.longest = max(map(len, self.ids))
+        self.longest, self.heads = max(map(len, self.ids)), heads(self.ids)
         self.rules, self.gap = rules, gap
 
     def known(self, text: str) -> tuple[int, list[tuple[int, int, int, str]]]:
         """(sentences, [(ordinal, start, end, id)]): the ordinal counts sentences of the finer cut before it."""
-        every = sentences(text, self.longest)
+        every = sentences(text, self.longest, self.heads)
         out, number, lines = [], 0, 0
         reached = -1
         for start, end, words in every:
