@@ -38,3 +38,39 @@ def test_calibration(spark, sections, rounds):
         scale, clipped = P.bisect(lambda k: float((w * np.minimum((k * v / 12) ** 3, 1)).sum() / w.sum()), 0.4, 0.5, 3.0)  # noqa: B023
         assert got[g] == (pytest.approx(scale, abs=1e-9), clipped)
     assert got.keys() == {"a", "b", "c", "calm", "storm"} and got["calm"][1] and got["storm"][1]
+
+
+@pytest.mark.parametrize("snsp", [None, 0.75, 0.1])
+def test_dispatch(spark, snsp):
+    """Unit by unit, as a loop over the fleet would."""
+    rng = random.Random(3)
+    fleet = [(g, k, float(rng.randint(0, 3)), float(rng.randint(3, 20)), rng.randint(0, 4)) for g in "ab" for k in range(6)]
+    wind = [(g, t, 100 + k, float(rng.choice([0, 5, 40, 90]))) for g in "abc" for t in range(12) for k in range(3) if t or g != "a"]
+    demand = [(g, t, float(rng.choice([0, 20, 60, 150, 900]))) for g in "abc" for t in range(12)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    cases, units = A.dispatch(frame(demand, "g string, t long, load double"), frame(wind, "g string, t long, unit long, mw double"), frame(fleet, "g string, unit long, pmin double, pmax double, cost long"), ["g"], "t", snsp)
+    got_cases, got_units = {(r["g"], r["t"]): r for r in cases.collect()}, {(r["g"], r["t"], r["unit"]): r["mw"] for r in units.collect()}
+    assert len(got_cases) == 36
+    for g, t, load in demand:
+        plant = sorted([u for u in fleet if u[0] == g], key=lambda u: (u[4], u[1]))
+        out, pot = {u[1]: u[2] for u in plant}, [(k, mw) for h, s, k, mw in wind if (h, s) == (g, t)]
+
+        def fill(need):
+            for _, k, _, pmax, _ in plant:  # noqa: B023
+                add = min(need, max(0.0, pmax - out[k]))  # noqa: B023
+                out[k] += add  # noqa: B023
+                need -= add
+            return need
+
+        total = sum(mw for _, mw in pot)
+        lack, cut = load - total - sum(out.values()), 0.0
+        short = fill(lack) if lack > 0 else 0.0
+        cut = min(-lack, total) if lack < 0 else 0.0
+        capped = max(0.0, total - cut - max(snsp * load, 0)) if snsp is not None else 0.0
+        short += fill(capped)
+        r = got_cases[g, t]
+        assert (r["cut"], r["capped"], r["shortage"]) == pytest.approx((cut, capped, short))
+        assert [got_units[g, t, k] for k in out] == pytest.approx(list(out.values()))
+        assert [got_units[g, t, k] for k, _ in pot] == pytest.approx([mw * (total - cut - capped) / total if total else 0.0 for _, mw in pot])
+        if snsp is not None and load > 0:
+            assert r["snsp"] <= snsp + 1e-9

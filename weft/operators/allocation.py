@@ -52,3 +52,31 @@ def calibrate(df: DataFrame, goals: DataFrame, by: list[str], response: Callable
         at = at.select(*by, "_goal", *[(F.col("_low") + (F.col("_high") - F.col("_low")) * (e / sections)).alias(n) for n, e in (("_low", k), ("_high", k + 1))], "_out")
         state = materialize(state.where("_out is not null").unionByName(at), "scales")
     return state.select(*by, F.coalesce("_out", (F.col("_low") + F.col("_high")) / 2).alias("scale"), F.col("_out").isNotNull().alias("clipped"))
+
+
+def dispatch(demand: DataFrame, renewables: DataFrame, fleet: DataFrame, by: list[str], at: str, snsp: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cases, units) of systems ``by`` at times ``at``: least-cost cover of demand(by, at, load) by renewables(by, at, unit, mw) and fleet(by, unit, pmin, pmax, cost).
+
+    The fleet runs at its minimum and rises in order of cost (ties by unit); what is too much is cut from renewables pro rata. Renewables above the share
+    ``snsp`` of the load are cut pro rata as well, and the fleet rises instead. cases: load, potential, cut (surplus), capped (by the share), shortage, snsp (the share
+    left). units: (by, at, unit, kind, mw). A system's fleet is ordered once; a case then needs its totals only, no loop over units.
+    """
+    w = Window.partitionBy(*by)
+    head = F.greatest(F.col("pmax") - F.col("pmin"), F.lit(0.0))
+    ranked = fleet.withColumn("_head", head).withColumn("_before", F.sum("_head").over(w.orderBy("cost", "unit").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_head"))
+    of_fleet = ranked.groupBy(*by).agg(F.sum("pmin").alias("_min"), F.sum("_head").alias("_room"))
+    of_wind = renewables.groupBy(*by, at).agg(F.sum("mw").alias("potential"))
+    zero = F.lit(0.0)
+    case = demand.join(of_wind, [*by, at], "left").join(hint_if_small(of_fleet), by, "left").fillna(0.0, ["potential", "_min", "_room"])
+    case = case.withColumn("_lack", F.col("load") - F.col("potential") - F.col("_min"))
+    case = case.withColumn("cut", F.least(F.greatest(zero - F.col("_lack"), zero), F.col("potential")))
+    over = F.greatest(F.col("potential") - F.col("cut") - F.greatest(F.lit(snsp) * F.col("load"), zero), zero) if snsp is not None else zero
+    case = case.withColumn("capped", over).withColumn("_need", F.greatest("_lack", zero) + F.col("capped"))
+    case = case.withColumn("_rise", F.least("_need", "_room")).withColumn("shortage", F.col("_need") - F.col("_rise"))
+    left = F.col("potential") - F.col("cut") - F.col("capped")
+    cases = case.select(*by, at, "load", "potential", "cut", "capped", "shortage", F.try_divide(left, F.col("load")).alias("snsp"))
+    keep = F.coalesce(F.try_divide(left, F.col("potential")), zero)
+    wind = renewables.join(case.select(*by, at, keep.alias("_keep")), [*by, at]).select(*by, at, "unit", F.lit("renewable").alias("kind"), (F.col("mw") * F.col("_keep")).alias("mw"))
+    fill = F.col("pmin") + F.least(F.col("_head"), F.greatest(F.col("_rise") - F.col("_before"), zero))
+    firm = case.select(*by, at, "_rise").join(hint_if_small(ranked), by).select(*by, at, "unit", F.lit("fleet").alias("kind"), fill.alias("mw"))
+    return cases, wind.unionByName(firm)

@@ -45,15 +45,15 @@ def _first_reaching(rows: DataFrame, order: str, w: str, keep: list[str]) -> Dat
 
 
 def order_statistics(counted: DataFrame, goals: DataFrame, few: int = 4096, bins: int = 1024, hot: int = 1_000_000) -> DataFrame:
-    """(_by, target, x): the smallest x of the group up to which the weights add up to the goal. ``counted`` is of ``steps``; goals(_by, target, goal) do
-    not exceed the group's weight. Groups of more than ``hot`` values are narrowed until ``few`` are left."""
-    counted = materialize(counted, "steps")
+    """(_by, target, x): the smallest x of the group up to which the weights add up to the goal. ``counted`` is a table of ``steps``; goals(_by, target, goal)
+    do not exceed the group's weight. Groups of more than ``hot`` values are narrowed until ``few`` are left."""
     sizes = counted.groupBy("_by").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    large = materialize(sizes.where(F.col("n") > hot), "hot-groups")
+    large = sizes.where(F.col("n") > hot)
     goals = goals.withColumn("goal", F.col("goal").cast("long"))
     if large.isEmpty():
         rows = counted.join(hint_if_small(goals), "_by").withColumn("below", F.lit(0).cast("long"))
         return _first_reaching(rows, "x", "w", ["x"]).select("_by", "target", "x")
+    large = materialize(large, "hot-groups")
     names = hint_if_small(large.select("_by"))
     cool = counted.join(names, "_by", "left_anti").join(hint_if_small(goals), "_by").withColumn("below", F.lit(0).cast("long"))
     rows = materialize(counted.join(names, "_by", "left_semi"), "hot-steps")

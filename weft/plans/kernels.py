@@ -100,6 +100,34 @@ def o05(s, d):
     return need.join(F.broadcast(g), F.col("need") > F.col("before")).select("month", "g", F.greatest(F.lit(0), F.least("cap", F.col("need") - F.col("before"))).cast("long").alias("mw"))
 
 
+O05 = f"""{NP}, u AS (SELECT month, n_regionkey::BIGINT AS g, nation, weight FROM np JOIN nation ON n_nationkey = nation), de AS (SELECT g, month, sum(weight)::BIGINT * 3 AS load FROM u GROUP BY 1, 2),
+re AS (SELECT g, month, nation AS unit, weight * (5 + nation % 3) AS mw FROM u WHERE nation % 2 = 0), fl AS (SELECT n_regionkey::BIGINT AS g, n_nationkey::BIGINT AS unit, 2 AS pmin, 6 + n_nationkey * 3 AS pmax, n_nationkey * 7 % 25 AS cost FROM nation WHERE n_nationkey % 2 = 1),
+ra AS (SELECT *, pmax - pmin AS head, sum(pmax - pmin) OVER (PARTITION BY g ORDER BY cost, unit) - (pmax - pmin) AS before FROM fl), ft AS (SELECT g, sum(pmin) AS lo, sum(head) AS room FROM ra GROUP BY 1), wt AS (SELECT g, month, sum(mw) AS pot FROM re GROUP BY 1, 2),
+c1 AS (SELECT de.*, coalesce(pot, 0) AS pot, lo, room, load - coalesce(pot, 0) - lo AS lack FROM de LEFT JOIN wt USING (g, month) JOIN ft USING (g)), c2 AS (SELECT *, least(greatest(-lack, 0), pot) AS cut FROM c1),
+c3 AS (SELECT *, greatest(pot - cut - 0.75::DOUBLE * load, 0) AS capped FROM c2), c4 AS (SELECT *, greatest(lack, 0) + capped AS need, least(greatest(lack, 0) + capped, room) AS rise FROM c3)"""
+
+
+def _cases(s, d):
+    u = node_price(s, d).join(t(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("nation"), F.col("n_regionkey").cast("long").alias("g")), "nation")
+    demand = u.groupBy("g", "month").agg((F.sum("weight") * 3).cast("double").alias("load"))
+    wind = u.where("nation % 2 = 0").select("g", "month", F.col("nation").alias("unit"), (F.col("weight") * (5 + F.col("nation") % 3)).cast("double").alias("mw"))
+    n = F.col("n_nationkey").cast("long")
+    fleet = t(s, d, "nation").where("n_nationkey % 2 = 1").select(F.col("n_regionkey").cast("long").alias("g"), n.alias("unit"), F.lit(2.0).alias("pmin"), (6 + n * 3).cast("double").alias("pmax"), (n * 7 % 25).alias("cost"))
+    return A.dispatch(demand, wind, fleet, ["g"], "month", 0.75)
+
+
+@query("o05_cases", f"WITH {O05} SELECT g, month, load::DOUBLE AS load, pot::DOUBLE AS potential, cut::DOUBLE AS cut, round(capped, 6) AS capped, round(need - rise, 6) AS shortage, round((pot - cut - capped) / load, 6) AS snsp FROM c4")
+def o05_cases(s, d):
+    """Regions as systems: surplus, what the cap on the non-synchronous share takes, shortage."""
+    return _cases(s, d)[0].select("g", "month", "load", "potential", "cut", *[F.round(c, 6).alias(c) for c in ("capped", "shortage", "snsp")])
+
+
+@query("o05_dispatch", f"""WITH {O05} SELECT g, month, unit, 'renewable' AS kind, round(mw * CASE WHEN pot > 0 THEN (pot - cut - capped) / pot ELSE 0 END, 6) AS mw FROM re JOIN c4 USING (g, month)
+UNION ALL SELECT g, month, unit, 'fleet', round(pmin + least(head, greatest(rise - before, 0)), 6) FROM c4 JOIN ra USING (g)""")
+def o05_dispatch(s, d):
+    return _cases(s, d)[1].withColumn("mw", F.round("mw", 6))
+
+
 @query("o06_water_fill", """WITH u AS (SELECT s_nationkey::BIGINT AS nation, s_suppkey, greatest(round(s_acctbal * 100)::BIGINT, 0) AS cap, 1 + s_suppkey % 5 AS w FROM supplier), tt AS (SELECT nation, sum(cap)::BIGINT * 6 // 10 AS total FROM u GROUP BY 1),
 st AS (SELECT nation, cap / w::DOUBLE AS brk, sum(cap) AS cap, sum(w) AS w FROM u GROUP BY 1, 2), c AS (SELECT *, coalesce(sum(cap) OVER (PARTITION BY nation ORDER BY brk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(w) OVER (PARTITION BY nation ORDER BY brk DESC) AS rest FROM st),
 l1 AS (SELECT nation, arg_min(level, brk) AS level FROM (SELECT nation, brk, (total - below)::DOUBLE / rest AS level FROM c JOIN tt USING (nation)) WHERE level <= brk GROUP BY 1)
