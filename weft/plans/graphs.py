@@ -131,9 +131,9 @@ def g13_patch(s, d):
 
 @query("g13_farthest", None)
 def g13_farthest(s, d):
-    """Eight nations by farthest-point choice; lengths fall with trade."""
+    """Six nations by farthest-point choice; lengths fall with trade."""
     edges = nation_edge(s, d).select("a", "b", F.expr("1000000 div J").alias("length"))
-    return R.farthest_points(edges, nodes(s, d), 0, 8, "length")
+    return R.farthest_points(edges, nodes(s, d), 0, 6, "length")
 
 
 @query("g14_resistance", None)
