@@ -137,3 +137,8 @@ def test_panel_bootstrap_tells_thin_groups(spark):
     got = {r["g"]: r for r in R.panel_bootstrap(spark.createDataFrame(rows, "g string, k long, e long, x double, w long"), ["g"], "k", ["e"], "x", "w", 80, "p").collect()}
     assert not got["long"]["thin"] and got["thin"]["thin"] and got["long"]["low"] < got["long"]["mean"] < got["long"]["high"]
     assert got["long"]["spread"] == pytest.approx(112, rel=0.1) and got["long"]["se"] < 0.05
+
+
+def test_draws_are_spread_over_tasks(spark):
+    drawn = R.draws(spark.createDataFrame([("a", 50)], "g string, n long"), ["g"], "n", 40, "s")
+    assert drawn.select(F.spark_partition_id().alias("p")).distinct().count() > 10

@@ -21,7 +21,8 @@ def hash_below(key: Column, n: Column) -> Column:
 
 def draws(groups: DataFrame, by: list[str], n: str, replicates: int, seed: str) -> DataFrame:
     """(by, rep, unit, times) for groups(by, n): how often a replicate draws each unit; units it does not draw have no row."""
-    rows = groups.where(F.col(n) > 0).select(*by, F.col(n).alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).repartition(*by, "rep")
+    rows = groups.where(F.col(n) > 0).select(*by, F.col(n).alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    rows = rows.repartition(max(replicates, 2 * groups.sparkSession.sparkContext.defaultParallelism), *by, "rep")  # by number: AQE would put these few rows into one task
     rows = rows.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     unit = hash_below(F.concat_ws(":", F.lit(seed), *by, "rep", "_slot"), F.col("_n"))
     return rows.groupBy(*by, "rep", unit.alias("unit")).agg(F.count("*").alias("times"))
@@ -70,7 +71,7 @@ def _rank_correlation(rows: DataFrame, keys: list[str], x: str, y: str, times: s
 
     def ranked(df: DataFrame, c: str, into: str) -> DataFrame:
         w = Window.partitionBy(*keys).orderBy(c)
-        upto, own = F.sum(times).over(w), F.sum(times).over(Window.partitionBy(*keys, c))
+        upto, own = F.sum(times).over(w), F.sum(times).over(w.rangeBetween(Window.currentRow, Window.currentRow))  # one sort for both
         return df.withColumn(into, 2 * upto - own + 1)
 
     r = ranked(ranked(rows, x, "_x"), y, "_y")
@@ -83,8 +84,8 @@ def _rank_correlation(rows: DataFrame, keys: list[str], x: str, y: str, times: s
 
 def spearman_bootstrap(df: DataFrame, by: list[str], order: list[str], x: str, y: str, replicates: int, seed: str, least: int = 30) -> DataFrame:
     """(by, rho, low, high, n): rank correlation with its interval by resampling pairs, ranks taken anew in each replicate; none below ``least`` pairs."""
-    units = numbered_units(df, by, order)
+    units = materialize(numbered_units(df, by, order).select(*by, "unit", x, y), "numbered-units")
     whole = _rank_correlation(units.withColumn("_t", F.lit(1)), by, x, y, "_t")
-    drawn = draws(whole.where(F.col("n") >= least).select(*by, "n"), by, "n", replicates, seed).join(units.select(*by, "unit", x, y), [*by, "unit"])
+    drawn = draws(whole.where(F.col("n") >= least).select(*by, "n"), by, "n", replicates, seed).join(hint_if_small(units, 1_000_000), [*by, "unit"])
     found = _rank_correlation(drawn, [*by, "rep"], x, y, "times")
     return whole.join(interval(found, by, "rho"), by, "left").select(*by, "rho", "low", "high", "n")
